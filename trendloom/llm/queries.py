@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op4_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minmax import MinMax, near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), MinMax(shingle=4))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import score
 
@@ -24,7 +30,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_quality_rules, op10_byte_bpe)}
+    return {f.__name__: f for f in (op4_minmax_near_dedup, op6_quality_rules, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
