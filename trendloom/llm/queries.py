@@ -21,6 +21,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
+def op8_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .flat_graph import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,7 +36,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_minmax_near_dedup, op6_quality_rules, op10_byte_bpe)}
+    return {f.__name__: f for f in (op4_minmax_near_dedup, op6_quality_rules, op8_flat_graph, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
