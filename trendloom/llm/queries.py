@@ -5,10 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
 
+def op3_warc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import histories
+
+    return histories(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "time", F.col("range").alias("key_range"), F.col("seq").alias("key_seq"))
+
+
 def op4_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minmax import MinMax, near_duplicates
 
@@ -27,6 +34,12 @@ def op8_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op9_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -36,7 +49,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_minmax_near_dedup, op6_quality_rules, op8_flat_graph, op10_byte_bpe)}
+    return {f.__name__: f for f in (op3_warc_merge, op4_minmax_near_dedup, op6_quality_rules, op8_flat_graph, op9_length_buckets, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
