@@ -34,6 +34,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import removals
+
+    return removals(table(spark, sf_dir, "documents"))
+
+
 def op8_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .flat_graph import near_duplicates
 
@@ -55,7 +61,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_neighbour_votes, op3_warc_merge, op4_minmax_near_dedup, op6_quality_rules, op8_flat_graph, op9_length_buckets, op10_byte_bpe)}
+    return {f.__name__: f for f in (op2_neighbour_votes, op3_warc_merge, op4_minmax_near_dedup, op6_quality_rules, op7_suffix_dedup, op8_flat_graph, op9_length_buckets, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
