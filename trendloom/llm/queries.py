@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op1_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets_forest import scan
+
+    return scan(table(spark, sf_dir, "documents"), path_col="source")
+
+
 def op2_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_knn import classify
 
@@ -61,7 +67,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_neighbour_votes, op3_warc_merge, op4_minmax_near_dedup, op6_quality_rules, op7_suffix_dedup, op8_flat_graph, op9_length_buckets, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_secret_forest, op2_neighbour_votes, op3_warc_merge, op4_minmax_near_dedup, op6_quality_rules, op7_suffix_dedup, op8_flat_graph, op9_length_buckets, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
