@@ -34,6 +34,12 @@ def op4_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), MinMax(shingle=4))
 
 
+def op5_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_text import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import score
 
@@ -67,7 +73,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_forest, op2_neighbour_votes, op3_warc_merge, op4_minmax_near_dedup, op6_quality_rules, op7_suffix_dedup, op8_flat_graph, op9_length_buckets, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_secret_forest, op2_neighbour_votes, op3_warc_merge, op4_minmax_near_dedup, op5_license_paragraphs, op6_quality_rules, op7_suffix_dedup, op8_flat_graph, op9_length_buckets, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
