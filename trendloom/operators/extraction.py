@@ -1,0 +1,214 @@
+"""Brand mentions in text: dictionary joins, rule scores, context gate, candidates in sentences."""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+
+# Patterns of candidate names, in order of priority.
+CANDIDATE_PATTERNS = [r"\b([A-Z]{2,}(?:[&-][A-Z]+)*)\b", r"\b([A-Z][a-z]+[A-Z][A-Za-z]+)\b", r"\"([A-Z][^\"]{1,30})\"", r"\b([A-Z][a-z]{2,}(?:\s[A-Z][a-z]{2,}){1,2})\b", r"\b([A-Z][a-z]{2,})\b"]
+# Words that speak for and against a brand beside a candidate.
+BRAND_CONTEXT = r"(?i)\b(bought|buy|buying|order[ed]?|review[ed]?|restock[ed]?|brand|from|by|wearing|using|love my|recommend|vs|compared to)\b"
+ANTI_CONTEXT = r"(?i)\b(recipe|city|country|state|president|season|episode|movie|song|county|street|school)\b"
+# Groups of signs that a sentence speaks of brands.
+GATES = {
+    "purchase": r"(?i)\b(bought|buy|buying|purchased?|ordered|picked up)\b",
+    "ownership": r"(?i)\b(my|own|owned|have had|been using)\b",
+    "comparison": r"(?i)\b(vs\.?|versus|better than|compared (to|with)|instead of|switched (to|from))\b",
+    "recommendation": r"(?i)\b(recommend(ed|s)?|suggest(ed|s)?|favou?rite|try|worth)\b",
+    "complaint": r"(?i)\b(disappointed|returned|refund|broke|stopped working|avoid)\b",
+    "brand_word": r"(?i)\b(brands?|company|maker|made by|label)\b",
+}
+# Weights of signals.
+WEIGHTS = {"purchase": 0.30, "comparison": 0.30, "recommendation": 0.25, "complaint": 0.25, "brand_word": 0.25, "whitelist": 0.45, "contains_whitelist": 0.35, "capitalised": 0.15, "quoted": 0.15, "multi_word": 0.05, "slot": 0.25, "multi_context": 0.10, "category_near": 0.10, "category_term": -0.40, "lowercase": -0.25, "common_word": -0.30, "too_long": -0.20, "numeric": -0.40, "sentence_start": -0.10}
+
+
+def whitelist(raw: DataFrame, stop: list[str], known: list[str], frequencies: DataFrame | None = None, most: float = 5e-5) -> DataFrame:
+    """``norm, display`` from ``display, pos``: first spelling wins; stop words, short and too common words are out."""
+    rows = raw.withColumn("norm", T.plain(F.col("display"))).where((F.length("norm") >= 2) & ~F.col("norm").isin(stop))
+    if frequencies is not None:
+        common = frequencies.where(F.col("freq") > most).select(F.col("word").alias("norm")).where(~F.col("norm").isin(known))
+        rows = rows.join(common, "norm", "left_anti")
+    return rows.groupBy("norm").agg(F.min_by("display", F.struct("pos", "display")).alias("display"))
+
+
+def ngram_hits(posts: DataFrame, brands: DataFrame, key: str, text: str, most: int = 4) -> DataFrame:
+    """``key, brand, hits``: n-grams of each text that are in ``brands`` (norm, display), by an equi-join."""
+    grams = posts.select(key, F.explode(T.ngrams(T.tokens(T.plain(F.col(text))), most)).alias("norm"))
+    return grams.join(brands.select("norm", "display"), "norm").groupBy(key, F.col("display").alias("brand")).agg(F.count("*").alias("hits"))
+
+
+def alias_hits(posts: DataFrame, aliases: dict[str, str], key: str, text: str) -> DataFrame:
+    """``key, alias, brand``: aliases, a fixed list, found as parts of the text; anti-context around the first rejects."""
+    own = F.array(*(F.struct(F.lit(a).alias("alias"), F.lit(b).alias("brand")) for a, b in aliases.items()))
+    low = F.lower(F.col(text))
+    found = posts.select(key, low.alias("__low"), F.explode(F.filter(own, lambda x: F.contains(low, x["alias"]))).alias("x"))
+    return found.where(~F.coalesce(T.around(F.col("__low"), F.col("x.alias"), 60).rlike(ANTI_CONTEXT), F.lit(False))).select(key, "x.alias", "x.brand")
+
+
+def candidates(text: Column) -> Column:
+    """Distinct candidate strings, by priority of their pattern."""
+    return F.array_distinct(F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in CANDIDATE_PATTERNS)))
+
+
+def candidate_score(candidate: Column, context: Column, known: Column, communities: Column, frequency: Column | None = None) -> Column:
+    """Rule score: capitals, rarity, context; a floor for known brands; several communities; at most 0.99."""
+    base = F.when(candidate.rlike(r"^[A-Z&-]{2,}$"), 0.30).when(candidate.rlike(r"^[A-Z][a-z]+[A-Z]"), 0.20).otherwise(0.0)
+    rare = F.lit(0.0) if frequency is None else F.when(frequency < 1e-5, 0.20).when(frequency > 5e-5, -0.25).otherwise(0.0)
+    near = F.when(context.rlike(BRAND_CONTEXT), 0.30).otherwise(0.0) - F.when(context.rlike(ANTI_CONTEXT), 0.40).otherwise(0.0)
+    score = base + rare + near
+    score = F.when(known, F.greatest(score, F.lit(0.45))).otherwise(score) + F.when(communities >= 3, 0.10).otherwise(0.0)
+    return F.round(F.least(score, F.lit(0.99)), 3)
+
+
+def regex_candidates(posts: DataFrame, key: str, text: str, community: str, known: list[str], accept: float = 0.65, review: float = 0.45) -> DataFrame:
+    """``key, candidate, score, decision`` of every candidate of a text; communities are counted over all posts."""
+    rows = posts.select(key, community, F.col(text).alias("__text"), F.explode(candidates(F.col(text))).alias("candidate")).where(F.length("candidate") >= 3)
+    rows = rows.withColumn("context", T.around(F.col("__text"), F.col("candidate"), 60)).drop("__text")
+    spread = rows.groupBy("candidate").agg(F.count_distinct(key).alias("posts"), F.count_distinct(community).alias("communities"))
+    scored = rows.join(spread, "candidate").withColumn("score", candidate_score(F.col("candidate"), F.col("context"), F.lower("candidate").isin(known), F.col("communities")))
+    return scored.select(key, "candidate", "communities", "score", F.when(F.col("score") >= accept, "accept").when(F.col("score") >= review, "review").otherwise("reject").alias("decision"))
+
+
+def review_queue(scored: DataFrame) -> DataFrame:
+    """The best score of each candidate to review, best first."""
+    rows = scored.where("decision = 'review'").groupBy(T.plain(F.col("candidate")).alias("brand_norm")).agg(F.max("score").alias("score"), F.max_by("candidate", F.struct("score", "candidate")).alias("candidate"))
+    return rows.orderBy(F.col("score").desc(), "brand_norm")
+
+
+def longest(names: Column) -> Column:
+    """Without names that begin another one, and without words of four letters or more that are part of a longer name."""
+    return F.filter(names, lambda x: ~F.exists(names, lambda y: (y != x) & (F.startswith(y, x) | (~F.contains(x, F.lit(" ")) & (F.length(x) >= 4) & F.array_contains(F.split(y, " "), x)))))
+
+
+def candidate_spread(posts: DataFrame, key: str, text: str, community: str) -> DataFrame:
+    """Posts and communities of each distinct token of a text."""
+    rows = posts.select(key, community, F.explode(F.array_distinct(T.tokens(T.plain(F.col(text))))).alias("token"))
+    return rows.groupBy("token").agg(F.count_distinct(key).alias("posts"), F.count_distinct(community).alias("communities"))
+
+
+def gate_labels(text: Column, names: Column | None = None) -> Column:
+    """Labels of the groups of signs a sentence shows; a listed name in it if it shows none."""
+    shown = F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(label)) for label, p in GATES.items())))
+    if names is None:
+        return shown
+    low = F.lower(text)
+    return F.when(F.size(shown) == 0, F.when(F.exists(names, lambda n: F.contains(low, n)), F.array(F.lit("whitelist_brand_present"))).otherwise(shown)).otherwise(shown)
+
+
+def category_terms(products: DataFrame, columns: list[str], noise: list[str]) -> DataFrame:
+    """``term``: values of several columns in normal form with their plain plurals, without noise."""
+    every = F.flatten(F.array(*(T.values(F.coalesce(F.col(c), F.lit(""))) for c in columns)))
+    terms = products.select(F.explode(every).alias("raw")).select(T.first_words(T.contextual(F.col("raw"))).alias("term"))
+    return terms.select(F.explode(T.variants(F.col("term"))).alias("term")).where(~F.col("term").isin(noise)).distinct()
+
+
+@dataclass(frozen=True)
+class Lexicon:
+    """Bounded dictionaries of the sentence extractor: norm to display, category terms, common words."""
+
+    brands: dict[str, str] = field(default_factory=dict, hash=False)
+    terms: frozenset[str] = frozenset()
+    common: frozenset[str] = frozenset()
+
+
+# Where a name stands in a sentence.
+SLOTS = [
+    (r"(?i)\b(?:bought|ordered|purchased|got|love|loving|recommend|tried|using|wearing)\s+(?:a|an|the|my|some|new)?\s*(.{2,60})", "fwd"),
+    (r"(?i)\b(?:switched|moved)\s+from\s+(.{2,40}?)\s+to\s+(.{2,40})", "pair"),
+    (r"(?i)(.{2,40}?)\s+(?:vs\.?|versus|is better than|beats)\s+(.{2,40})", "pair"),
+    (r"(?i)\b(?:made by|brand called|from a brand|from the brand)\s+(.{2,40})", "fwd"),
+]
+BOUNDARY = re.compile(r"(?i)\s+(?:and|but|because|since|for|from|with|that|which|when|so|is|was|are|last|this|yesterday)\b|[,.;:!?()]")
+
+
+def extract_sentence(sentence: str, labels: list[str], lexicon: Lexicon) -> list[tuple[str, str, float, list[str]]]:
+    """``display, decision, confidence, signals`` of the names in one sentence that passed the gate."""
+
+    def norm(value: str) -> str:
+        return re.sub(r"\s+", " ", re.sub(r"[^\w']", " ", value.lower().replace("&", "and"))).strip()
+
+    slots: list[str] = []
+    for pattern, kind in SLOTS:
+        for m in re.finditer(pattern, sentence):
+            for part in m.groups()[: 2 if kind == "pair" else 1]:
+                cut = re.sub(r"(?i)^(the|a|an|my|some|new)\s+", "", BOUNDARY.split(part.strip(), maxsplit=1)[0].strip())
+                if cut and len(cut.split()) <= 8 and cut not in slots:
+                    slots.append(cut)
+    phrases: dict[str, set[str]] = {}
+
+    def add(phrase: str, *signals: str) -> None:
+        if len(phrase.strip()) >= 2:
+            phrases.setdefault(phrase.strip(), set()).update(signals)
+
+    for scope, signals in [*((s, ("slot",)) for s in slots), (sentence, ())]:
+        words = scope.split()
+        at = 0
+        while at < len(words):  # longest dictionary entry first, none overlaps
+            size = next((n for n in range(min(5, len(words) - at), 0, -1) if norm(" ".join(words[at : at + n])) in lexicon.brands), 0)
+            if size:
+                add(" ".join(words[at : at + size]).strip(".,;:!?\"'"), "whitelist", *signals)
+            at += size or 1
+        for m in re.finditer(r"\b[A-Z][\w&'-]*(?:\s+[A-Z][\w&'-]*){0,3}", scope):
+            add(m[0], "capitalised", *signals, *(["sentence_start"] if m.start() == 0 and not signals else []))
+    for m in re.finditer(r"[\"“]([^\"”]{2,30})[\"”]", sentence):
+        add(m[1], "quoted")
+    out, seen = [], set()
+    for phrase, signals in phrases.items():
+        key = norm(phrase)
+        words = key.split()
+        bare = re.sub(r"^(the|a|an)\s+", "", key)
+        inner = next((g for n in range(len(words) - 1, 0, -1) for i in range(len(words) - n + 1) if (g := " ".join(words[i : i + n])) in lexicon.brands), None)
+        product = key in lexicon.terms or bare in lexicon.terms or any(len(w) > 3 and w in lexicon.terms for w in words)
+        signals = signals | {g for g in labels if g in WEIGHTS} | ({"multi_word"} if len(words) > 1 else set()) | ({"lowercase"} if phrase == phrase.lower() else set()) | ({"common_word"} if key in lexicon.common else set()) | ({"numeric"} if key.replace(" ", "").isdigit() else set()) | ({"too_long"} if len(words) > 4 else set())
+        if key in lexicon.brands:
+            shown, decision, floor = lexicon.brands[key], "display_brand" if not product or "slot" in signals else "product_term", 0.60
+        elif inner:
+            shown, decision, floor = lexicon.brands[inner], "display_brand", 0.50
+            signals = signals | {"contains_whitelist"}
+        elif product:
+            shown, decision, floor = phrase, "product_term", 0.0
+            signals = signals | {"category_term"}
+        else:
+            shown, decision, floor = phrase, "", 0.0
+        score = round(min(1.0, max(floor, sum(WEIGHTS.get(s, 0.0) for s in sorted(signals)))), 3)
+        if not decision:
+            bars = (0.60, 0.55) if "lowercase" not in signals else (1.01, 0.30)
+            decision = "display_brand" if score >= bars[0] else "brand_candidate_audit" if score >= bars[1] else "reject"
+        mark = re.sub(r"^(the|a|an)\s+", "", shown.lower())
+        if decision in ("display_brand", "brand_candidate_audit") and mark not in seen:
+            seen.add(mark)
+            out.append((shown, decision, float(score), sorted(signals)))
+    return out
+
+
+def sentence_brands(posts: DataFrame, key: str, text: str, lexicon: Lexicon) -> DataFrame:
+    """``key, brand, decision, confidence, signals``: names of gated sentences, each once for a post.
+
+    The gate is an expression; only sentences that pass go to Python, in Arrow batches.
+    """
+    names = F.array(*(F.lit(n) for n in sorted(lexicon.brands))) if lexicon.brands else F.array().cast("array<string>")
+    rows = posts.select(key, F.posexplode(T.sentences(F.col(text))).alias("at", "sentence")).withColumn("labels", gate_labels(F.col("sentence"), names)).where(F.size("labels") > 0)
+    kind = posts.schema[key].dataType.simpleString()
+    schema = f"{key} {kind}, at int, brand string, decision string, confidence double, signals array<string>"
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ids, at, out = [], [], []
+            for k, i, sentence, labels in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for found in extract_sentence(sentence, labels, lexicon):
+                    ids.append(k)
+                    at.append(i)
+                    out.append(found)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(at, pa.int32()), *(pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.float64(), pa.list_(pa.string()))))], names=[key, "at", "brand", "decision", "confidence", "signals"])
+
+    found = rows.mapInArrow(run, schema)
+    best = found.groupBy(key, F.lower("brand").alias("__mark")).agg(F.max_by(F.struct("brand", "decision", "confidence", "signals"), F.struct("confidence", (-F.col("at")).alias("first"), "brand")).alias("x"))
+    return best.select(key, "x.*")
