@@ -45,6 +45,19 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of an Arrow batch, where a row can be large: Spark and Python each hold a few batches for each task.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by BATCH_BYTES in this session, unless they are already smaller."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "64m").strip().lower().removesuffix("b")
+    size = int(now.rstrip("kmg")) << {"k": 10, "m": 20, "g": 30}.get(now[-1:], 0)
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def map_batches(df: DataFrame, fn: Callable[..., dict], schema: str, **context) -> DataFrame:
     """Map Arrow batches: ``fn(columns as Python lists by name, **context)`` returns lists by output column.
 

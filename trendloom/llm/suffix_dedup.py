@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, discard, materialize
+from .common import arrow_schema, discard, materialize, small_batches
 from .minmax import STEP, mixed
 
 LENGTH = 50
@@ -319,6 +319,7 @@ def covered(content: bytes, verdict: list[bytes] | None) -> np.ndarray:
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc, verdict array<binary>`` for the documents that lose bytes."""
+    small_batches(docs.sparkSession)
     frame = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc"), F.col(f"`{text_col}`").alias("content")).where(f"doc is not null and octet_length(content) >= {LENGTH}")
     total = frame.agg(F.sum(F.octet_length("content"))).first()[0] or 0
     shared = materialize(shared_anchors(frame, max(1, math.ceil(total * 2 / (WINDOW + 1) / ANCHORS_IN_PART))), "anchors")
