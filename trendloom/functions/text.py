@@ -25,22 +25,20 @@ def contextual(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(spelled, r"(?U)[^\w']", " "), r"\s+", " "))
 
 
-@F.pandas_udf("string")
-def folded(text):
+def folded(text: Column) -> Column:
     """Compatibility form without combining marks; curly quotes and dashes become plain ones. Spark has no normaliser."""
-    import unicodedata
 
-    import pandas as pd
+    @F.pandas_udf("string")
+    def fold(values):
+        import unicodedata
 
-    signs = str.maketrans({"‘": "'", "’": "'", "`": "'", "´": "'", "–": "-", "—": "-", "−": "-"})
+        import pandas as pd
 
-    def fold(value):
-        if value is None:
-            return None
-        parts = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", value.translate(signs)))
-        return "".join(c for c in parts if not unicodedata.combining(c))
+        signs = str.maketrans({"‘": "'", "’": "'", "`": "'", "´": "'", "–": "-", "—": "-", "−": "-"})
+        plain_form = lambda v: "".join(c for c in unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", v.translate(signs))) if not unicodedata.combining(c))
+        return pd.Series([None if v is None else plain_form(v) for v in values], dtype=object)
 
-    return pd.Series([fold(v) for v in text], dtype=object)
+    return fold(text)
 
 
 def without_article(text: Column) -> Column:
@@ -72,11 +70,11 @@ def tokens(text: Column) -> Column:
 
 
 def ngrams(words: Column, most: int) -> Column:
-    """All n-grams, n = 1 to ``most``, joined by spaces."""
-    by_size = [
-        F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i, n=n: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
-        for n in range(1, most + 1)
-    ]
+    """All n-grams, n = 1 to ``most``, joined by spaces: each n from the one before, so no lambda works on the text."""
+    by_size = [words]
+    for n in range(2, most + 1):
+        left = F.greatest(F.lit(0), F.size(words) - (n - 1))
+        by_size.append(F.zip_with(F.slice(by_size[-1], F.lit(1), left), F.slice(words, F.lit(n), left), lambda x, y: F.concat_ws(" ", x, y)))
     return F.concat(*by_size)
 
 

@@ -39,15 +39,16 @@ def whitelist(raw: DataFrame, stop: list[str], known: list[str], frequencies: Da
 
 def ngram_hits(posts: DataFrame, brands: DataFrame, key: str, text: str, most: int = 4) -> DataFrame:
     """``key, brand, hits``: n-grams of each text that are in ``brands`` (norm, display), by an equi-join."""
-    grams = posts.select(key, F.explode(T.ngrams(T.tokens(T.plain(F.col(text))), most)).alias("norm"))
+    words = posts.select(key, T.tokens(T.plain(F.col(text))).alias("__words"))
+    grams = words.select(key, F.explode(T.ngrams(F.col("__words"), most)).alias("norm"))
     return grams.join(brands.select("norm", "display"), "norm").groupBy(key, F.col("display").alias("brand")).agg(F.count("*").alias("hits"))
 
 
 def alias_hits(posts: DataFrame, aliases: dict[str, str], key: str, text: str) -> DataFrame:
     """``key, alias, brand``: aliases, a fixed list, found as parts of the text; anti-context around the first rejects."""
     own = F.array(*(F.struct(F.lit(a).alias("alias"), F.lit(b).alias("brand")) for a, b in aliases.items()))
-    low = F.lower(F.col(text))
-    found = posts.select(key, low.alias("__low"), F.explode(F.filter(own, lambda x: F.contains(low, x["alias"]))).alias("x"))
+    low = posts.select(key, F.lower(F.col(text)).alias("__low"))
+    found = low.select(key, "__low", F.explode(F.filter(own, lambda x: F.contains(F.col("__low"), x["alias"]))).alias("x"))
     return found.where(~F.coalesce(T.around(F.col("__low"), F.col("x.alias"), 60).rlike(ANTI_CONTEXT), F.lit(False))).select(key, "x.alias", "x.brand")
 
 

@@ -145,7 +145,7 @@ def kpi_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{BOARD} SELECT back, category, spike_ratio, rank FROM (SELECT *, row_number() OVER (PARTITION BY back ORDER BY spike_ratio DESC, category) AS rank FROM final WHERE view_direction <> 'declining') WHERE rank <= 8")
 def spike_radar_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return brands.ranked(board(spark, sf_dir).where("view_direction <> 'declining'"), ["back"], 8, F.col("spike_ratio").desc(), F.col("category")).select("back", "category", "spike_ratio", "rank")
+    return brands.ranked(board(spark, sf_dir).where("view_direction <> 'declining'"), ["back"], 8, F.col("spike_ratio").desc(), F.col("category")).select("back", "category", "spike_ratio", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"{BOARD} SELECT category, trend_score, spike_ratio, communities_c, round(greatest(8, least(60, 6 * sqrt(cast(mentions_c AS double)))), 6) AS bubble FROM final WHERE back = 1 ORDER BY trend_score DESC, category LIMIT 12")
@@ -164,7 +164,7 @@ def category_period_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {MENTIONS} SELECT category, mention_id, engagement_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY engagement_score DESC, mention_id) AS rank FROM mentions) WHERE rank <= 5")
 def top_posts_per_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return brands.ranked(mentions(spark, sf_dir), ["category"], 5, F.col("engagement_score").desc(), F.col("mention_id")).select("category", "mention_id", "engagement_score", "rank")
+    return brands.ranked(mentions(spark, sf_dir), ["category"], 5, F.col("engagement_score").desc(), F.col("mention_id")).select("category", "mention_id", "engagement_score", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("SELECT page_id, host FROM (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, row_number() OVER (PARTITION BY regexp_extract(url, '^https?://([^/]+)', 1) ORDER BY length(html) DESC, page_id) AS rn FROM pages) WHERE rn = 1")
@@ -189,9 +189,9 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weekly.trend_score(weekly.shares(weekly.facts(series(spark, sf_dir))))
 
 
-@query(f"{FACTS} SELECT category, strftime(wk, '%Y-%m-%d') AS week, mentions, communities, round(mean_sentiment, 6) AS mean_sentiment, round(mean_engagement, 4) AS mean_engagement FROM facts")
+@query(f"{FACTS} SELECT category, strftime(wk, '%Y-%m-%d') AS week, mentions, communities, round(mean_sentiment, 6) AS mean_sentiment, round(mean_engagement, 6) AS mean_engagement FROM facts")
 def weekly_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weekly.facts(series(spark, sf_dir)).select("category", day("week").alias("week"), "mentions", "communities", F.round("mean_sentiment", 6).alias("mean_sentiment"), F.round("mean_engagement", 4).alias("mean_engagement"))
+    return weekly.facts(series(spark, sf_dir)).select("category", day("week").alias("week"), "mentions", "communities", F.round("mean_sentiment", 6).alias("mean_sentiment"), F.round("mean_engagement", 6).alias("mean_engagement"))
 
 
 @query(f"WITH {SERIES} SELECT category, strftime(date_trunc('week', published_at), '%Y-%m-%d') AS week, count(*) AS mentions, count(DISTINCT community) AS communities FROM series WHERE published_at < (SELECT max(published_at) - INTERVAL 28 DAY FROM series) GROUP BY 1, 2")
@@ -286,7 +286,7 @@ def brand_spread_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{BRANDS} SELECT category, brand, cur_mentions, brand_rank FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY cur_mentions DESC, brand_spike DESC, avg_sentiment DESC NULLS LAST, brand) AS brand_rank FROM brand_table) WHERE brand_rank <= 30")
 def brand_top30(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return brands.top_brands(brands.brand_table(brand_facts(spark, sf_dir))).select("category", "brand", "cur_mentions", "brand_rank")
+    return brands.top_brands(brands.brand_table(brand_facts(spark, sf_dir))).select("category", "brand", "cur_mentions", F.col("brand_rank").cast("bigint").alias("brand_rank"))
 
 
 @query(f"{BRANDS} SELECT category, brand, cur_mentions - prev_mentions AS delta, round(cur_mentions / cast(CASE WHEN prev_mentions = 0 THEN 1 ELSE prev_mentions END AS double), 2) AS spike, CASE WHEN avg_sentiment > 0 THEN '+' WHEN avg_sentiment < 0 THEN '-' ELSE '0' END AS mood FROM brand_table")
@@ -309,7 +309,7 @@ SELECT category, brand, mention_id, rank FROM (SELECT category, brand, mention_i
 def brand_posts_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("mention_id"), F.col("lang").alias("category"), F.col("n_chars").alias("engagement"), "text", F.lit(None).cast("string").alias("title"))
     named = posts.select("category").distinct().withColumn("brand", F.explode(F.array(*map(F.lit, ("the", "ou", "de la", "ung")))))
-    return brands.brand_posts(named, posts).select("category", "brand", "mention_id", "rank")
+    return brands.brand_posts(named, posts).select("category", "brand", "mention_id", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("""WITH posts AS (SELECT source AS cluster, lang AS community, cast(quality AS double) AS score, TIMESTAMP '2024-01-01' + to_days(cast(d.doc_id % 60 AS integer)) AS published_at FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id), tax AS (SELECT DISTINCT source AS cluster FROM documents UNION ALL SELECT 'unseen'),
@@ -381,7 +381,7 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""WITH t AS (SELECT doc_id, list_filter(string_split_regex(trim(regexp_replace(regexp_replace(lower(text), '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~]', ' ', 'g'), '\s+', ' ', 'g')), '\s+'), lambda x: x <> '') AS w FROM documents),
-g AS (SELECT doc_id, unnest(w) AS g FROM t UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM t)
+u AS (SELECT doc_id, unnest(w) AS one, generate_subscripts(w, 1) AS i FROM t), g AS (SELECT doc_id, one AS g FROM u UNION ALL SELECT doc_id, one || ' ' || lead(one) OVER (PARTITION BY doc_id ORDER BY i) FROM u)
 SELECT doc_id, upper(g) AS brand, count(*) AS hits FROM g WHERE g IN ('the', 'of the', 'de la', 'und') GROUP BY 1, 2""")
 def ngram_dictionary_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = spark.sql("SELECT norm, upper(norm) AS display FROM VALUES ('the'), ('of the'), ('de la'), ('und') AS t(norm)")
