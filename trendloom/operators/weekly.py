@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.numbers import at_least, at_most, average_rank
 
-SERIES = Window.partitionBy("category").orderBy("week")
-WEEK = Window.partitionBy("week")
+
+
+def by_series() -> WindowSpec:
+    return Window.partitionBy("category").orderBy("week")
+
+
+def by_week() -> WindowSpec:
+    return Window.partitionBy("week")
 
 
 def facts(rows: DataFrame, time: str = "published_at") -> DataFrame:
@@ -24,27 +30,27 @@ def archive(rows: DataFrame, days: int = 28, time: str = "published_at") -> Data
 
 def shares(weekly: DataFrame) -> DataFrame:
     """Shares of the week's mentions and of the sum of its categories' communities, by a window, not a join."""
-    total = lambda c: F.sum(c).over(WEEK)
+    total = lambda c: F.sum(c).over(by_week())
     return weekly.withColumn("total_mentions", total("mentions")).withColumn("total_communities", total("communities")).withColumn("share", F.col("mentions") / F.greatest("total_mentions", F.lit(1))).withColumn("comm_share", F.col("communities") / F.greatest("total_communities", F.lit(1)))
 
 
 def spike_rank(weekly: DataFrame) -> DataFrame:
-    before = F.lag("share").over(SERIES)
+    before = F.lag("share").over(by_series())
     rows = weekly.withColumn("spike_ww", F.col("share") / at_least(before, 1e-9))
-    return rows.withColumn("spike_norm", average_rank(F.col("spike_ww"), ["week"], WEEK.orderBy(F.col("spike_ww").asc_nulls_last()), WEEK, Window.partitionBy("week", "spike_ww")))
+    return rows.withColumn("spike_norm", average_rank(F.col("spike_ww"), ["week"], by_week().orderBy(F.col("spike_ww").asc_nulls_last()), by_week(), Window.partitionBy("week", "spike_ww")))
 
 
 def trend_score(weekly: DataFrame) -> DataFrame:
     """Adds the weekly score: the mean of four parts, at most 1, null if a part is."""
-    rows = spike_rank(weekly).withColumn("comm_norm", F.col("communities") / F.greatest(F.max("communities").over(WEEK), F.lit(1))).withColumn("sentiment_score", (F.col("mean_sentiment") + 1) / 2)
-    rows = rows.withColumn("eng_mom", at_most(F.col("mean_engagement") / at_least(F.lag("mean_engagement").over(SERIES), 1e-9), 4.0))
-    rows = rows.withColumn("eng_mom_norm", F.col("eng_mom") / at_least(F.percentile("eng_mom", F.lit(0.97)).over(WEEK), 1e-9))
+    rows = spike_rank(weekly).withColumn("comm_norm", F.col("communities") / F.greatest(F.max("communities").over(by_week()), F.lit(1))).withColumn("sentiment_score", (F.col("mean_sentiment") + 1) / 2)
+    rows = rows.withColumn("eng_mom", at_most(F.col("mean_engagement") / at_least(F.lag("mean_engagement").over(by_series()), 1e-9), 4.0))
+    rows = rows.withColumn("eng_mom_norm", F.col("eng_mom") / at_least(F.percentile("eng_mom", F.lit(0.97)).over(by_week()), 1e-9))
     return rows.withColumn("trend_score", at_most((F.col("spike_norm") + F.col("comm_norm") + F.col("sentiment_score") + F.col("eng_mom_norm")) * 0.25, 1.0))
 
 
 def rolling(rows: DataFrame, value: str = "trend_score", last: int = 4) -> DataFrame:
     """Mean, sample deviation and z of the last rows, the current one too; two values at least."""
-    span = SERIES.rowsBetween(1 - last, 0)
+    span = by_series().rowsBetween(1 - last, 0)
     enough = F.count(value).over(span) >= 2
     rows = rows.withColumn("roll_mean", F.when(enough, F.avg(value).over(span))).withColumn("roll_std", F.when(enough, F.greatest(F.stddev_samp(value).over(span), F.lit(1e-6))))
     return rows.withColumn("trend_score_z", (F.col(value) - F.col("roll_mean")) / F.col("roll_std"))
@@ -52,19 +58,19 @@ def rolling(rows: DataFrame, value: str = "trend_score", last: int = 4) -> DataF
 
 def lags(rows: DataFrame, value: str = "trend_score") -> DataFrame:
     """Ordinal, lags and the slope of the four rows before; the slope is null if one of them is."""
-    rows = rows.withColumn("week_num", F.row_number().over(SERIES) - 1)
-    span = SERIES.rowsBetween(-4, -1)
-    rows = rows.withColumn("trend_score_lag1", F.lag(value).over(SERIES)).withColumn("trend_score_chg", F.col(value) - F.col("trend_score_lag1"))
+    rows = rows.withColumn("week_num", F.row_number().over(by_series()) - 1)
+    span = by_series().rowsBetween(-4, -1)
+    rows = rows.withColumn("trend_score_lag1", F.lag(value).over(by_series())).withColumn("trend_score_chg", F.col(value) - F.col("trend_score_lag1"))
     rows = rows.withColumn("trend_score_mom", F.when(F.count(value).over(span) == 4, F.regr_slope(F.col(value), F.col("week_num").cast("double")).over(span)))
-    change = lambda c, k: F.col(c) - F.lag(c, k).over(SERIES)
-    return rows.withColumn("spike_norm_lag1", F.lag("spike_norm").over(SERIES)).withColumn("sentiment_chg", change("sentiment_score", 1)).withColumn("share_chg_1w", change("share", 1)).withColumn("share_chg_4w", change("share", 4)).withColumn("comm_share_chg", change("comm_share", 1))
+    change = lambda c, k: F.col(c) - F.lag(c, k).over(by_series())
+    return rows.withColumn("spike_norm_lag1", F.lag("spike_norm").over(by_series())).withColumn("sentiment_chg", change("sentiment_score", 1)).withColumn("share_chg_1w", change("share", 1)).withColumn("share_chg_4w", change("share", 4)).withColumn("comm_share_chg", change("comm_share", 1))
 
 
 def rise_targets(rows: DataFrame, value: str = "trend_score") -> DataFrame:
     """Whether the mean of the next 2 (4) rows is above the current one; null if fewer remain, 0 if it can't be told."""
     size = F.count(F.lit(1)).over(Window.partitionBy("category"))
     for k in (2, 4):
-        ahead = F.avg(value).over(SERIES.rowsBetween(1, k))
+        ahead = F.avg(value).over(by_series().rowsBetween(1, k))
         rows = rows.withColumn(f"rise_{k}w", F.when(F.col("week_num") + k < size, F.coalesce((ahead > F.col(value)).cast("int"), F.lit(0))))
     return rows
 
