@@ -1,0 +1,293 @@
+"""Operators against brute force, round trips and held-out accuracy; odd rows for all."""
+
+import base64
+import hashlib
+import itertools
+import json
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from trendloom.llm import bpe, flat_graph, license_text, minmax, packing, quality_knn, quality_rules, secrets_forest, suffix_dedup, warc
+
+DOCS = "doc_id long, text string, score double, id string"  # two names that operators use inside
+
+
+def docs_table(spark, texts, start=0):
+    return spark.createDataFrame([(i, t, 1.0, "x") for i, t in enumerate(texts, start)], DOCS)
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    rnd = random.Random(4)
+    vocabulary = ["".join(rnd.choice("abcdefghijkléñ") for _ in range(rnd.randint(2, 9))) for _ in range(900)]
+    texts = [" ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(1, 160))) for _ in range(60)]
+    for base in (3, 7, 11):
+        for edits in (0, 1, 2, 4, 9, 15):
+            words = texts[base].split()
+            for _ in range(edits):
+                words[rnd.randrange(len(words))] = rnd.choice(vocabulary)
+            texts.append(" ".join(words))
+    passage = " ".join(rnd.choice(vocabulary) for _ in range(30))
+    texts += [f"{texts[i]}\n{passage} {texts[i + 1]}" for i in range(20, 30)]
+    return [*texts, "", None, "word", "la " * 400, "é" * 120, texts[5].upper(), "x" * 49, "x" * 50, "x" * 51]
+
+
+def odd(spark):
+    return spark.createDataFrame([(None, "some text", 1.0, "a"), (None, None, None, None), (5, None, None, None), (5, "twice", 1.0, "b"), (5, "twice", 1.0, "b")], DOCS)
+
+
+def test_quality_rules(spark, corpus):
+    got = {r["doc_id"]: r for r in quality_rules.score(docs_table(spark, corpus)).collect()}
+    for i, text in enumerate(corpus):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        windows = Counter(zip(words, words[1:], words[2:]))
+        inside = {j + k for j in range(len(words) - 2) if windows[tuple(words[j : j + 3])] > 1 for k in range(3)}
+        lines, seen = (text or "").split("\n"), set()
+        again = sum(1 for line in lines if (line in seen or seen.add(line)) and re.search(r"[^\x20\x09-\x0D]", line))
+        r = got[i]
+        assert (r["n_words"], r["word_chars"], r["n_repeat_words"], r["n_dup_lines"]) == (len(words), sum(map(len, words)), len(inside), again)
+        assert r["base_failed"] == (len(words) < 50 or 100 * len(inside) > 50 * len(words))
+        assert not (r["base_failed"] and r["kept"])
+    assert quality_rules.keep(docs_table(spark, corpus)).columns == ["doc_id", "text", "score", "id"]
+    assert quality_rules.score(odd(spark)).count() == 5 and quality_rules.keep(odd(spark)).count() == 0
+
+
+def test_compression_bands(spark):
+    rnd = random.Random(1)
+    noise = base64.b85encode(rnd.randbytes(30000)).decode()
+    rows = {r["doc_id"]: r["band"] for r in quality_rules.score(docs_table(spark, ["word " * 3000, noise, " ".join(f"{rnd.choice('abcdefg')}{rnd.choice('aeiou')}{rnd.choice('mnrst')}" for _ in range(3000))])).collect()}
+    assert rows == {0: -1, 1: 0 if rows[1] == 0 else 1, 2: 0}
+
+
+def components_by_force(texts, size, percent):
+    def grams(text):
+        words = (text or "").encode().lower().split()
+        return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+    sets, root = [grams(t) for t in texts], list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[i] & sets[j])
+        if sets[i] and sets[j] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+            a, b = sorted((top(i), top(j)))
+            root[b] = a
+    return [len(s) for s in sets], [top(i) for i in range(len(texts))]
+
+
+def test_near_duplicates(spark, corpus):
+    got = {r["doc_id"]: r for r in minmax.near_duplicates(docs_table(spark, corpus), minmax.MinMax(shingle=4)).collect()}
+    sizes, roots = components_by_force(corpus, 4, 80)
+    assert [got[i]["n_shingles"] for i in range(len(corpus))] == sizes
+    assert [got[i]["component_id"] for i in range(len(corpus))] == roots
+    assert all(got[i]["kept"] == (roots[i] == i) for i in got)
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    rows = minmax.near_duplicates(odd(spark)).collect()
+    assert sorted((r["doc_id"] is None, r["component_id"], r["kept"]) for r in rows if r["doc_id"] is not None) == [(False, 5, True)] * 3
+    assert all(r["component_id"] is None and r["kept"] for r in rows if r["doc_id"] is None)
+    assert minmax.near_duplicates(odd(spark).limit(0)).count() == 0
+    assert minmax.keep_first(odd(spark)).count() == 5
+
+
+def suffixes_by_force(texts, length=50):
+    first: dict[bytes, int] = {}
+    out = []
+    for i, text in enumerate(texts):
+        content = (text or "").encode()
+        gone = np.zeros(len(content), bool)
+        own = [content[j : j + length] for j in range(len(content) - length + 1)]
+        for j, s in enumerate(own):
+            if s in first:
+                gone[j : j + length] = True
+        for s in own:
+            first.setdefault(s, i)
+        rest = np.frombuffer(content, np.uint8)[~gone].tobytes()
+        out.append((len(content), int(gone.sum()), int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(rest).hexdigest()))
+    return out
+
+
+def test_repeated_passages(spark, corpus):
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.removals(docs_table(spark, corpus)).collect()}
+    assert [got[i] for i in range(len(corpus))] == suffixes_by_force(corpus)
+    cut = {r["doc_id"]: r["text"] for r in suffix_dedup.cut(docs_table(spark, corpus)).collect()}
+    assert cut[0] == corpus[0] and all(cut[i] == ("" if len(corpus[i].encode()) >= 50 else corpus[i]) for i in (60, 66, 72))
+
+
+def test_repeated_passages_of_odd_rows(spark):
+    same = spark.createDataFrame([(None, "y" * 80, 1.0, ""), (7, "y" * 80, 1.0, ""), (7, "y" * 80, 1.0, "")], DOCS)
+    assert [r["n_removed"] for r in suffix_dedup.removals(same).collect()] == [0, 0, 0]
+    assert suffix_dedup.removals(odd(spark)).count() == 5 and suffix_dedup.removals(odd(spark).limit(0)).count() == 0
+
+
+def test_long_text_is_taken_in_chunks(monkeypatch):
+    content = random.Random(2).randbytes(5000).hex().encode()
+    whole = suffix_dedup.anchors(content)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 300)
+    assert all((a == b).all() for a, b in zip(whole, suffix_dedup.anchors(content), strict=True))
+
+
+def test_flat_graph(spark, monkeypatch):
+    draw = np.random.default_rng(3)
+    x = draw.standard_normal((300, 16))
+    x[100:140] = x[7] + 0.02 * draw.standard_normal((40, 16))
+    x[140:150] = x[9]
+    label = [int(v) for v in draw.integers(0, 2, 300)]
+    rows = [(i, v.tolist(), label[i]) for i, v in enumerate(x)]
+    rows += [(300, None, 0), (301, [0.0] * 16, 0), (302, [float("nan")] * 16, 0), (303, x[7].tolist(), None), (304, [], 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    same = (unit @ unit.T >= 0.98) & (np.array(label)[:, None] == np.array(label)) & ~np.eye(300, dtype=bool)
+    got = {r["vec_id"]: r for r in flat_graph.near_duplicates(table).collect()}
+    found = sum(got[i]["n_links"] for i in range(300))
+    assert found == same.sum() and all(got[i]["n_links"] == same[i].sum() for i in range(300))
+    assert all((got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True) for i in range(300, 305))
+    assert all(got[i]["component_id"] <= i for i in range(300))
+    # Dealt into shards, recall against brute force stays.
+    monkeypatch.setattr(flat_graph, "SHARD", 60)
+    again = flat_graph.near_duplicates(table).agg(F.sum("n_links")).first()[0]
+    assert 0.95 * found <= again <= found
+
+
+def test_warc(spark):
+    pages = spark.createDataFrame([(3, "http://www.b.example/x?q=1", "same\r\n\r\nbody"), (1, "http://a.b.example/", "same\r\n\r\nbody"), (2, None, None), (None, "http://c.example", ""), (4, "http://a b.example/\n", "é"), (4, "http://a b.example/\n", "é")], "page_id long, url string, html string")
+    rows = warc.histories(pages).collect()
+    got = {(r["page_id"], r["record_type"]): r for r in rows}
+    digest = base64.b32encode(hashlib.sha1(b"same\r\n\r\nbody").digest()).decode()
+    assert (got[(3, "revisit")]["refers_to"], got[(3, "revisit")]["payload_bytes"], got[(3, "revisit")]["payload_digest"]) == (1, 12, digest)
+    assert got[(1, "response")]["refers_to"] is None and got[(2, "response")]["payload_bytes"] == 0
+    assert len(rows) == 6 and sum(r["page_id"] == 4 and r["record_type"] == "response" for r in rows) == 2
+    keys = [(r["url_key"], r["time"]) for r in sorted(rows, key=lambda r: (r["range"], r["seq"]))]
+    assert keys == sorted(keys)
+    assert warc.histories(pages.limit(0)).count() == 0
+
+
+def test_loser_tree():
+    rnd = random.Random(1)
+    runs = [sorted((f"k{rnd.randint(0, 30):03d}", "t", rnd.randint(0, 9), 0, "", "", None, "a", i) for i in range(rnd.randint(1, 40))) for _ in range(13)]
+    tree = warc.LoserTree()
+    for run in runs:
+        tree.open(sorted(run, key=warc.order))
+    out = []
+    while tree.head() is not None:
+        out.append(tree.pop())
+    assert out == sorted((e for run in runs for e in run), key=warc.order) or [warc.order(e) for e in out] == sorted(warc.order(e) for run in runs for e in run)
+
+
+def test_best_lengths():
+    rnd = random.Random(5)
+    for _ in range(20):
+        counts = {rnd.randint(0, 40): rnd.randint(1, 9) for _ in range(rnd.randint(1, 9))}
+        cost = lambda ends: sum(n * (min(e for e in ends if e >= v) - v) for v, n in counts.items())  # noqa: E731, B023
+        k = rnd.randint(1, 4)
+        best = min(cost({*c, max(counts)}) for m in range(k) for c in itertools.combinations(counts, m))
+        ends = packing.best_lengths(counts, k)
+        assert len(ends) <= k and cost(ends) == best
+
+
+def test_packing(spark, corpus):
+    how = packing.Packing(buckets=4, longest=50, budget=200, shard_rows=5)
+    rows = packing.pack(docs_table(spark, corpus), how).collect()
+    count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    assert Counter({i: count(t) for i, t in enumerate(corpus)}) == Counter({i: sum(r["n_tokens"] for r in rows if r["doc_id"] == i) for i in range(len(corpus))})
+    places = Counter((r["bucket"], r["batch"], r["place"]) for r in rows)
+    assert max(places.values()) == 1
+    sizes = Counter((r["bucket"], r["batch"], r["bucket_tokens"]) for r in rows)
+    assert all(n == 1 or n * length <= how.budget for (_, _, length), n in sizes.items())
+    for bucket in {r["bucket"] for r in rows}:  # batches are full but for the last
+        own = Counter(r["batch"] for r in rows if r["bucket"] == bucket)
+        assert len({own[b] for b in own if b != max(own)}) <= 1
+    assert packing.pack(odd(spark), how).count() == 5 and packing.pack(odd(spark).limit(0), how).count() == 0
+
+
+def test_bpe(spark, corpus):
+    P = pytest.importorskip("public_tokenizers")
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    known = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    texts = [*corpus, "a  b \n c", "日本語 text", "it's 123 x²\x1c y", "   ", "  x"]
+    got = {r["doc_id"]: r for r in bpe.round_trip(docs_table(spark, texts), path, P.PATTERN).collect()}
+    for i, text in enumerate(texts):
+        ids = known.encode_ordinary(text or "")
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert got[i]["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
+    coder = bpe.byte_bpe(path, P.PATTERN)
+    for text in ("日本語 aé", "x\n y"):
+        (ids, spans), plain = coder.encode_with_offsets([text])[0], coder.encode([text])[0]
+        assert ids == plain and spans[0][0] == 0 and spans[-1][1] == len(text)
+        assert "".join(coder.decode_stream(ids)) == text == coder.decode(ids)
+    table = bpe.encode(docs_table(spark, texts), path, P.PATTERN, offsets=True)
+    assert {r["doc_id"]: bytes(r["content"]).decode() for r in bpe.decode(table, path, P.PATTERN).collect()} == {i: t or "" for i, t in enumerate(texts)}
+    assert bpe.round_trip(odd(spark), path, P.PATTERN).count() == 5
+
+
+def test_neighbour_votes(spark):
+    rnd = random.Random(8)
+    good = [" ".join(rnd.choice("alpha beta gamma delta omega sigma".split()) for _ in range(40)) for _ in range(150)]
+    bad = [" | ".join(rnd.choice("ALPHA### beta$$$ gamma&&& delta***".split()) for _ in range(40)) for _ in range(150)]
+    docs = docs_table(spark, [*good, *bad, "", None])
+    labels = spark.createDataFrame([(i, int(i < 150), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    rows = quality_knn.classify(docs, labels).collect()
+    held = [r for r in rows if r["held_out"] and r["doc_id"] < 300]
+    assert len(held) > 30 and sum(r["predicted"] == int(r["doc_id"] < 150) for r in held) >= 0.97 * len(held)
+    assert all(0 <= r["score"] <= 1 for r in rows) and len(rows) == 302
+    assert quality_knn.classify(odd(spark), labels.limit(0)).select("score").distinct().collect()[0]["score"] == 0.5
+
+
+def test_secret_forest(spark):
+    how = secrets_forest.Forest()
+    held = secrets_forest.labelled_findings(600, seed=99)
+    vote = secrets_forest.trained(spark, how)
+    rows = secrets_forest.findings_table(spark, held).select("label", F.struct(*secrets_forest.FEATURES).alias("f")).select("label", F.expr(vote).alias("p")).collect()
+    right = sum((r["p"] >= how.threshold) == (r["label"] == 1) for r in rows)
+    assert right >= 0.93 * len(rows)
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    docs = docs_table(spark, [f'x token = "{key}" y', "the retitioningthereoning of 4926109448945250", f"commit {key}", None, ""])
+    clean = {r["doc_id"]: r["text"] for r in secrets_forest.redact(docs).collect()}
+    assert clean == {0: 'x token = "[SECRET]" y', 1: "the retitioningthereoning of 4926109448945250", 2: f"commit {key}", 3: None, 4: ""}
+    assert secrets_forest.redact(docs).columns == docs.columns
+    plan = secrets_forest.scan(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    assert secrets_forest.scan(odd(spark)).count() == 0
+
+
+def test_licence_paragraphs(spark):
+    wrapped = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software\nand associated documentation files"
+    texts = ["text\nReleased under the MIT License.", wrapped, "He lost his driver's license and the general public was free.", "Licensed under CC BY-NC 4.0.", None, ""]
+    rows = license_text.scan(docs_table(spark, texts)).where("confirmed").collect()
+    assert {(r["doc_id"], r["paragraph"], r["family"]) for r in rows} >= {(0, 1, "MIT"), (1, 0, "MIT"), (3, 0, "CC-BY-NC")}
+    assert not [r for r in rows if r["doc_id"] == 2]
+    plan = license_text.scan(docs_table(spark, texts))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_pipeline(spark, corpus, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(6)
+    vocabulary = ["".join(rnd.choice("abcdefghijklm") for _ in range(rnd.randint(2, 9))) for _ in range(3000)]
+    base = [" ".join(rnd.choice(vocabulary) for _ in range(120)) for _ in range(12)]
+    texts = [*base, base[0] + " more", "spam " * 200, "short", f'{base[1][:300]} {" ".join(rnd.choice(vocabulary) for _ in range(90))} token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"']
+    rows = [(i, t, "en", "src0", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
+    for (_, stage), left in zip(corpus_pipeline.STAGES[:-1], (14, 13, 13, 13), strict=True):
+        docs = spark.createDataFrame(stage(spark, docs, "").collect(), docs.schema)
+        assert docs.count() == left and docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    last = {r["doc_id"]: r for r in docs.collect()}
+    assert last[0]["text"] == base[0] and "[SECRET]" in last[15]["text"] and base[1][:300] not in last[15]["text"]
+    assert last[15]["n_chars"] == len(last[15]["text"])
+    packed = corpus_pipeline.run(spark, f"file://{tmp_path}")
+    assert {r["doc_id"] for r in packed.collect()} == set(last)
+    assert json.dumps(corpus_pipeline.ORACLE_SQL) == "null"
