@@ -2,8 +2,8 @@
 
 Each permutation of a document's shingles gives two signature values, its smallest and its largest, so half as many
 permutations are evaluated for signatures of the same length. Bands of values put documents into buckets; a bucket's
-members are held against its smallest one, and what is still apart then against the rest of the bucket; every link
-is confirmed on the full shingle sets.
+members are held against its smallest one, and what is still apart then against all that share a bucket with it; every
+link is confirmed on the full shingle sets.
 
 Documents with equal sets are one class and one row from the start; sets are fetched only for documents that share a
 bucket. No bucket is gathered in a task: minima come back by a join, and confirmations of a document that many others
@@ -179,26 +179,61 @@ def buckets(classes: DataFrame) -> DataFrame:
     return rows.join(hubs, "key")
 
 
-def open_pairs(members: DataFrame, classes: DataFrame, sets: DataFrame, found: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket that are in different components and not tried yet, but for those that can't be similar.
+#: Set members of a block of documents, on average.
+BLOCK = 1_500_000
 
-    Shingles that no other member has can't be shared. What is left of a set bounds its intersection with any
-    other, and so rules most pairs out before they are made.
+
+def open_links(members: DataFrame, classes: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` between components that still share a bucket.
+
+    Buckets with one hub are one group. Its documents outside its largest component are held against all of the
+    group's, a block of each at a time, by counting common set members; pairs of one component are left out and no
+    pair leaves a task but a link. So the rows that are dealt grow with the group, not with its pairs.
     """
-    placed = members.where("size > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    rows = materialize(placed.join(apart, "key", "left_semi").select("key", "node", "component"), "open")
-    nodes = rows.select("node").distinct()
-    alone = sets.join(nodes, "node", "left_semi").select("node", F.explode("values").alias("value")).groupBy("value").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    sizes = nodes.join(classes.select("node", F.col("n_shingles").alias("total")), "node").join(alone, "node", "left").select("node", "total", (F.col("total") - F.coalesce("alone", F.lit(0))).alias("shared"))
-    sized = rows.join(sizes, "node")
-    # Similar at p percent means: (100 + p) * intersection >= p * (sum of both sizes).
-    enough = lambda shared, both: (100 + percent) * shared >= percent * both
-    least = sized.groupBy("key").agg(F.min("total").alias("least"))
-    able = sized.join(least, "key").where(enough(F.col("shared"), F.col("total") + F.col("least")))
-    x, y = (able.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "total", "shared"))) for side in "xy")
-    pairs = x.join(y, "key").where("node_x < node_y and component_x <> component_y").where(enough(F.least("shared_x", "shared_y"), F.col("total_x") + F.col("total_y")))
-    return pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    placed = members.where("size > 2").select("hub", "node").distinct().join(found, "node", "left").select("hub", "node", F.coalesce("component", "node").alias("component"))
+    placed = placed.join(classes.select("node", F.col("n_shingles").alias("n")).groupBy("node").agg(F.max("n").alias("n")), "node")
+    parts = placed.groupBy("hub", "component").agg(F.count("*").alias("own"), F.sum("n").alias("n"))
+    groups = parts.groupBy("hub").agg(F.max_by("component", "own").alias("main"), F.max("own").alias("top"), F.sum("own").alias("all"), F.sum("n").alias("n")).where("all > top")
+    rows = materialize(placed.join(groups.select("hub", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "hub"), "open")
+    own, every = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    held = rows.select("hub", "node", "component", own.alias("held"), every.alias("asked"), F.lit(0).alias("role"))
+    asked = rows.where("component <> main").select("hub", "node", "component", every.alias("held"), own.alias("asked"), F.lit(1).alias("role"))
+    dealt = held.unionByName(asked).join(sets, "node").select("hub", "held", "asked", "role", "node", "component", "values")
+    schema = "a bigint, b bigint"
+    target = arrow_schema(members.sparkSession, schema)
+
+    def links(known: list[tuple], queries: list[tuple]) -> list[tuple[int, int]]:
+        nodes, homes, sizes = (np.array(x) for x in ([k[0] for k in known], [k[1] for k in known], [len(k[2]) for k in known]))
+        value, owner = np.concatenate([k[2] for k in known]), np.repeat(np.arange(len(known)), sizes)
+        order = np.argsort(value, kind="stable")
+        value, owner = value[order], owner[order]
+        out = []
+        for node, home, own_values in queries:
+            low, high = np.searchsorted(value, own_values, "left"), np.searchsorted(value, own_values, "right")
+            count = high - low
+            place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+            both = np.bincount(owner[place], minlength=len(known))
+            linked = np.flatnonzero((100 * both >= percent * (sizes + len(own_values) - both)) & (homes != home))
+            # One link to each component is enough.
+            out += [(node, int(nodes[i])) for i in linked[np.unique(homes[linked], return_index=True)[1]]]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, known = None, []
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(6)]
+            values = batch.column(6)
+            flat, cuts = values.values.to_numpy(zero_copy_only=False), values.offsets.to_numpy()
+            out, queries = [], []
+            for i, (hub, block, other, role, node, component) in enumerate(zip(*columns, strict=True)):
+                if (hub, block, other) != key:
+                    out += links(known, queries) if queries else []
+                    key, known, queries = (hub, block, other), [], []
+                (queries if role else known).append((node, component, flat[cuts[i] : cuts[i + 1]].copy()))
+            out += links(known, queries) if queries else []
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], schema=target)
+
+    return dealt.repartition("hub", "held", "asked").sortWithinPartitions("hub", "held", "asked", "role", "node").mapInArrow(run, schema)
 
 
 def near_duplicates(docs: DataFrame, how: MinMax | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,10 +248,9 @@ def near_duplicates(docs: DataFrame, how: MinMax | None = None, id_col: str = "d
     sets = materialize(full_sets(docs, wanted, how, id_col, text_col), "sets")
     links = materialize(confirmed(star, sets, how.percent), "links")
     first = components(links)
-    rest = materialize(open_pairs(members, classes, sets, first, star, how.percent), "rest")
-    more = materialize(confirmed(rest, sets, how.percent), "links")
-    found = first if more.isEmpty() else components(links.unionByName(more).unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    for done in (members, star, sets, links, rest):
+    more = materialize(open_links(members, classes, sets, first, how.percent), "links")
+    found = first if more.isEmpty() else components(links.unionByName(more))
+    for done in (members, star, sets, links):
         discard(done)
     placed = classes.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     return (
