@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import table
 
@@ -25,7 +24,7 @@ def op2_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import histories
 
-    return histories(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "time", F.col("range").alias("key_range"), F.col("seq").alias("key_seq"))
+    return histories(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +54,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .flat_graph import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "embeddings"))
+    return near_duplicates(table(spark, sf_dir, "embeddings")).drop("audited_recall")
 
 
 def op9_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +76,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc_merge": OP3, "op4_minmax_near_dedup": OP4, "op8_flat_graph": OP8}
+
+
+OP3 = """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, html, cast(strlen(html) AS bigint) AS payload_bytes, min(page_id) OVER (PARTITION BY html) AS first, sha1(html) AS hex FROM p)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(((cast(('0x' || substr(hex, cast(5 * (i // 4) + 1 AS bigint), 5)) AS bigint) >> cast(15 - 5 * (i % 4) AS bigint)) & 31) + 1 AS bigint), 1)), '') AS payload_digest,
+CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d"""
+
+#: Components of links by the smallest id that is reached.
+REACH = """reach(id, tip) AS (SELECT id, id FROM nodes UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.tip)"""
+
+OP4 = f"""WITH RECURSIVE t AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+u AS (SELECT id, unnest(w) AS x, generate_subscripts(w, 1) AS i, len(w) AS n FROM t),
+g AS (SELECT id, x || ' ' || lead(x, 1) OVER s || ' ' || lead(x, 2) OVER s || ' ' || lead(x, 3) OVER s AS sh FROM u WHERE n >= 4 WINDOW s AS (PARTITION BY id ORDER BY i) UNION SELECT id, array_to_string(w, ' ') FROM t WHERE len(w) BETWEEN 1 AND 3),
+sets AS (SELECT DISTINCT id, sh FROM g WHERE sh IS NOT NULL), sizes AS (SELECT id, count(*) AS n FROM sets GROUP BY id),
+both_have AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM sets a JOIN sets b ON a.sh = b.sh AND a.id <> b.id GROUP BY 1, 2),
+links AS (SELECT a, b FROM both_have JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b WHERE 100 * c >= 80 * (x.n + y.n - c)), nodes AS (SELECT doc_id AS id FROM documents), {REACH}
+SELECT r.id AS doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.tip) AS component_id, r.id = min(r.tip) AS kept FROM reach r LEFT JOIN sizes s ON s.id = r.id GROUP BY r.id"""
+
+OP8 = f"""WITH RECURSIVE v AS (SELECT vec_id AS id, label, cast(embedding AS double[]) AS e FROM embeddings),
+n AS (SELECT id, label, e, sqrt(list_dot_product(e, e)) AS m FROM v WHERE e IS NOT NULL AND label IS NOT NULL AND list_dot_product(e, e) > 0),
+links AS (SELECT x.id AS a, y.id AS b FROM n x JOIN n y ON x.label = y.label AND x.id <> y.id WHERE list_dot_product(x.e, y.e) / x.m / y.m >= cast(0.98 AS double)), nodes AS (SELECT id FROM v), {REACH}
+SELECT id AS vec_id, (SELECT count(*) FROM links WHERE a = id) AS n_links, min(tip) AS component_id, id = min(tip) AS kept FROM reach GROUP BY id"""
