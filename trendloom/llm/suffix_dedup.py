@@ -307,14 +307,15 @@ def verdicts(texts: DataFrame, parts: int) -> DataFrame:
 
 def covered(content: bytes, verdict: list[bytes] | None) -> np.ndarray:
     """True for each byte to be removed."""
-    steps = np.zeros(len(content) + 1, np.int64)
-    for blob in verdict or []:
-        entries = np.frombuffer(blob, VERDICT)
-        for c in range(WINDOW):
-            start = entries["place"][(entries["windows"] >> np.uint64(c)) & np.uint64(1) == 1].astype(np.int64) - (WINDOW - 1) + c
-            np.add.at(steps, start, 1)
-            np.add.at(steps, start + LENGTH, -1)
-    return np.cumsum(steps[:-1]) > 0
+    starts = np.zeros(len(content) + LENGTH, np.int32)
+    entries = np.frombuffer(b"".join(verdict or []), VERDICT)
+    step = np.arange(WINDOW)
+    for at in range(0, len(entries), 1 << 14):
+        part = entries[at : at + (1 << 14)]
+        told = (part["windows"][:, None] >> step.astype(np.uint64)) & np.uint64(1) == 1
+        starts[LENGTH + (part["place"].astype(np.int64)[:, None] - (WINDOW - 1) + step)[told]] = 1
+    met = np.cumsum(starts)
+    return met[LENGTH:] > met[:-LENGTH]  # a window starts in the last LENGTH bytes
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
