@@ -107,6 +107,12 @@ def blended(two: DataFrame, four: DataFrame) -> DataFrame:
     return two.join(four, "category", "outer").na.fill(0.5, ["p2", "p4"]).withColumn("rise_score", F.round(0.55 * F.col("p2") + 0.45 * F.col("p4"), 3))
 
 
+def confident(told: DataFrame, high: float = 0.90, low: float = 0.10) -> DataFrame:
+    """``category, horizon, direction, p`` of predictions sure enough to list."""
+    rows = told.select("category", F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(c).alias("p")) for h, c in (("2w", "p2"), ("4w", "p4"))))).alias("x")).select("category", "x.*")
+    return rows.withColumn("direction", F.when(F.col("p") >= high, "rising").when(F.col("p") <= low, "declining")).where("direction is not null")
+
+
 def overlapping(spans: DataFrame, start: str, end: str, low: Column, high: Column) -> DataFrame:
     """Events that overlap the time shown."""
     return spans.where(~((F.col(end) < low) | (F.col(start) > high)))

@@ -253,6 +253,14 @@ def blend_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weekly.blended(rate("F", "p2", "category < '4'"), rate("O", "p4", "category > '2'"))
 
 
+@query("""WITH t AS (SELECT cast(o_custkey % 40 AS varchar) AS category, avg(cast(o_orderstatus = 'F' AS integer)) AS p2, avg(cast(o_orderstatus = 'O' AS integer)) AS p4 FROM orders GROUP BY 1), r AS (SELECT category, '2w' AS horizon, p2 AS p FROM t UNION ALL SELECT category, '4w', p4 FROM t)
+SELECT category, horizon, round(p, 6) AS p, CASE WHEN p >= cast(0.35 AS double) THEN 'rising' ELSE 'declining' END AS direction FROM r WHERE p >= cast(0.35 AS double) OR p <= cast(0.31 AS double)""")
+def confident_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = load(spark, sf_dir, "orders").withColumn("category", (F.col("o_custkey") % 40).cast("string"))
+    rate = lambda v: F.avg((F.col("o_orderstatus") == v).cast("int"))
+    return weekly.confident(o.groupBy("category").agg(rate("F").alias("p2"), rate("O").alias("p4")), 0.35, 0.31).withColumn("p", F.round("p", 6))
+
+
 @query("SELECT DISTINCT o_orderpriority AS category, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS cat_encoded FROM orders")
 def label_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = weekly.encoded(load(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "category"))
