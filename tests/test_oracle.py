@@ -4,6 +4,7 @@ import math
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from trendloom.plans.queries import QUERIES, SQL
@@ -15,7 +16,7 @@ def rows(frame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
 
     def form(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return "null"
         return f"{float(v):.9g}" if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v)
 
