@@ -2,13 +2,13 @@
 
 Vectors with one label (and width) are dealt to overlapping shards around centroids, each to its nearest few; a shard
 that is too large is dealt out again. Each shard links its vectors to near ones and prunes robustly; the adjacency lists
-of a vector from all its shards are united. Each shard then searches the united graph for every member, greedily from
-the shard's medoid, and widens the search over the range in which links can lie. Pairs found are verified in double
+of a vector from all its shards are united. Each vector is then searched for in the united graph of its nearest shard, greedily
+from the shard's medoid, and widens the search over the range in which links can lie. Pairs found are verified in double
 precision. Each shard audits recall against brute force on a sample of its queries and searches again, wider, while
 the audit misses anything.
 
-Equal vectors with one label are one class from the start. A pair that several shards share counts in one of them only,
-so links are counted where they are found and no pair leaves a task: what goes on is a count for each vector and a
+Equal vectors with one label are one class from the start. Each link counts once for each end,
+where it is found, and no pair leaves a task: what goes on is a count for each vector and a
 spanning tree of each shard's links.
 
 Missed links: pairs that share no shard (each vector is in its nearest OVERLAP of a shard's centroids) and those the
@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, discard, materialize
+from .common import arrow_schema, discard, materialize, small_batches
 from .graph import components
 
 SHARD = 3000  #: vectors of a shard above which it is dealt out again
 CENTROIDS = 16
-OVERLAP = 4
+OVERLAP = 3
 LEVELS = 8
 DEGREE = 20  #: edges that pruning keeps
 NEAR = 64  #: nearest vectors that pruning chooses from
@@ -86,30 +86,32 @@ def centred(samples: DataFrame) -> DataFrame:
 
 def dealt_again(rows: DataFrame) -> DataFrame:
     """``shard`` of each row becomes the nearest OVERLAP shards within it; takes ``centroids`` of the shard."""
-    schema = "node bigint, copies bigint, vec array<double>, shard string"
+    schema = "node bigint, copies bigint, vec array<double>, shard string, first boolean"
 
     def run(batches):
         for batch in batches:
-            width = np.diff(batch.column(2).offsets.to_numpy())
-            centroids = batch.column(4).to_pylist()
-            vecs = batch.column(2).to_pylist()
-            index, shards = [], []
-            known: dict[str, np.ndarray] = {}
-            for i, (shard, vec) in enumerate(zip(batch.column(3).to_pylist(), vecs, strict=True)):
-                if shard not in known:
-                    known[shard] = np.array(centroids[i]).reshape(-1, width[i])
-                near = np.argsort(-(known[shard] @ np.array(vec)), kind="stable")[:OVERLAP]
-                index += [i] * len(near)
-                shards += [f"{shard}.{k}" for k in near.tolist()]
-            take = batch.select([0, 1, 2]).take(pa.array(index, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*take.columns, pa.array(shards, pa.string())], names=["node", "copies", "vec", "shard"])
-
-    return rows.select("node", "copies", "vec", "shard", "centroids").mapInArrow(run, schema)
+            vec, shard = batch.column(2), np.array(batch.column(3).to_pylist(), dtype=object)
+            flat, cuts = vec.values.to_numpy(), vec.offsets.to_numpy()
+            first = batch.column(4).to_numpy(zero_copy_only=False)
+            index, shards, nearest = [], [], []
+            for name in dict.fromkeys(shard.tolist()):
+                own = np.flatnonzero(shard == name)
+                width = int(cuts[own[0] + 1] - cuts[own[0]])  # one width in a shard
+                x = flat[cuts[own][:, None] + np.arange(width)]
+                near = np.argsort(-(x @ np.array(batch.column(5)[int(own[0])].as_py()).reshape(-1, width).T), axis=1, kind="stable")[:, :OVERLAP]
+                index.append(np.repeat(own, near.shape[1]))
+                shards += [f"{name}.{k}" for k in near.ravel().tolist()]
+                nearest.append((first[own][:, None] & (np.arange(near.shape[1]) == 0)).ravel())
+            if index:
+                take = batch.select([0, 1, 2]).take(pa.array(np.concatenate(index)))
+                yield pa.RecordBatch.from_arrays([*take.columns, pa.array(shards, pa.string()), pa.array(np.concatenate(nearest))], names=["node", "copies", "vec", "shard", "first"])
+
+    return rows.select("node", "copies", "vec", "shard", "first", "centroids").mapInArrow(run, schema)
 
 
 def dealt(classes: DataFrame) -> DataFrame:
-    """``node, copies, vec, shard, shards``: a row for each shard of a class, with the list of all its shards."""
-    rows = classes.select("node", "copies", "vec", F.concat_ws("/", F.col("width").cast("string"), "label").alias("shard"))
+    """``node, copies, vec, shard, shards, home``: a row for each shard of a class, with all its shards and the nearest."""
+    rows = classes.select("node", "copies", "vec", F.concat_ws("/", F.col("width").cast("string"), "label").alias("shard"), F.lit(True).alias("first"))
     done, last = None, None
     for level in range(LEVELS):
         sizes = rows.groupBy("shard").agg(F.count("*").alias("size"))
@@ -125,7 +127,7 @@ def dealt(classes: DataFrame) -> DataFrame:
         if last is not None:
             discard(last)
         rows = last = done
-    every = rows.groupBy("node").agg(F.sort_array(F.collect_set("shard")).alias("shards"))  # OVERLAP ** LEVELS at most
+    every = rows.groupBy("node").agg(F.collect_set("shard").alias("shards"), F.max(F.when(F.col("first"), F.col("shard"))).alias("home"))  # OVERLAP ** LEVELS at most
     return rows.join(every, "node")
 
 
@@ -213,44 +215,49 @@ def walked(x: np.ndarray, query: int, start: int, edges: list[list[int]], beam:
     return np.array([j for s, j in best if s >= edge and j != query], dtype=np.int64), seen
 
 
-def found_in(x: np.ndarray, edges: list[list[int]], least: float) -> tuple[list[np.ndarray], float]:
-    """Verified links of each vector and the audited recall."""
-    n = len(x)
+def found_in(x: np.ndarray, edges: list[list[int]], least: float, asked: np.ndarray | None = None) -> tuple[dict[int, np.ndarray], float]:
+    """Verified links of the vectors ``asked`` for and the audited recall."""
+    asked = np.arange(len(x)) if asked is None else asked
     medoid = int((x @ x.mean(0)).argmax())
     # A monotone path between vectors at distance d stays within 2 d of both ends.
     edge = 1 - 4 * (1 - least)
-    sample = np.linspace(0, n - 1, min(n, AUDIT)).astype(int)
-    truth = [set(np.flatnonzero(x @ x[i] >= least).tolist()) - {int(i)} for i in sample]
+    sample = asked[np.unique(np.linspace(0, len(asked) - 1, min(len(asked), AUDIT)).astype(int))] if len(asked) else asked
+    truth = {int(i): set(np.flatnonzero(x @ x[i] >= least).tolist()) - {int(i)} for i in sample}
     beam = BEAM
     while True:
-        links = []
-        for i in range(n):
+        links: dict[int, set[int]] = {}
+        for i in asked.tolist():
             met = searched(x, i, medoid, edges, beam, edge)
-            links.append(met[x[met] @ x[i] >= least] if len(met) else met)
-        missed = sum(len(t - set(links[i].tolist())) for i, t in zip(sample, truth, strict=True))
-        total = sum(map(len, truth))
-        if not missed or beam >= n:
+            links[i] = set(met[x[met] @ x[i] >= least].tolist()) if len(met) else set()
+        missed = sum(len(t - links[i]) for i, t in truth.items())
+        total = sum(map(len, truth.values()))
+        if not missed or beam >= len(x):
             break
         beam *= 2
-    back: list[set[int]] = [set(v.tolist()) for v in links]  # a link found from one end holds for both
-    for i, v in enumerate(links):
-        for j in v.tolist():
-            back[j].add(i)
-    return [np.array(sorted(b), dtype=np.int64) for b in back], 1 - missed / total if total else 1.0
+    for i in asked.tolist():  # a link found from one end holds for both
+        for j in links[i]:
+            if j in links:
+                links[j].add(i)
+    return {i: np.array(sorted(found), dtype=np.int64) for i, found in links.items()}, 1 - missed / total if total else 1.0
 
 
 def search(shards: DataFrame, graph: DataFrame, least: float) -> DataFrame:
-    """``node, links, root, recall`` for each vector in each shard: links that count in this shard, and its tree."""
-    rows = shards.join(graph, "node").select("shard", "node", "copies", "vec", "shards", "near")
+    """``node, links, root, recall``: each vector is searched for in its nearest shard.
+
+    What it finds is counted for it. A vector found there that has another nearest shard finds it too, if it is in
+    that one; if it isn't, the link is counted here for both.
+    """
+    rows = shards.join(graph, "node").select("shard", "node", "copies", "vec", "shards", "home", "near")
 
     def run(part):
         part, node, x = members(part.to_batches())
         shard = part.column("shard")[0].as_py()
         place = {int(v): i for i, v in enumerate(node)}
         edges = [[place[j] for j in near if j in place] for near in part.column("near").to_pylist()]
-        links, recall = found_in(x, edges, least)
-        copies, lists = part.column("copies").to_numpy(), [set(s) for s in part.column("shards").to_pylist()]
-        alone = all(len(s) == 1 for s in lists)
+        homes = part.column("home").to_pylist()
+        links, recall = found_in(x, edges, least, np.array([i for i, h in enumerate(homes) if h == shard], dtype=np.int64))
+        copies, lists = part.column("copies").to_numpy(), [set(v) for v in part.column("shards").to_pylist()]
+        away = np.array([h != shard for h in homes])
         root, counts = list(range(len(node))), np.zeros(len(node), dtype=np.int64)
 
         def top(i: int) -> int:
@@ -259,11 +266,14 @@ def search(shards: DataFrame, graph: DataFrame, least: float) -> DataFrame:
                 i = root[i]
             return i
 
-        for i, near in enumerate(links):
+        for i, near in links.items():
             for j in near.tolist():
                 a, b = sorted((top(i), top(j)))
                 root[b] = a
-            counts[i] = copies[near].sum() if alone else sum(copies[j] for j in near.tolist() if min(lists[i] & lists[j]) == shard)
+            counts[i] += copies[near].sum()
+            for j in near[away[near]].tolist():
+                if homes[j] not in lists[i]:
+                    counts[j] += copies[i]
         return pa.table({"node": node, "links": counts, "root": node[[top(i) for i in range(len(node))]], "recall": np.full(len(node), recall)})
 
     return rows.groupBy("shard").applyInArrow(run, "node bigint, links bigint, root bigint, recall double")
@@ -271,6 +281,7 @@ def search(shards: DataFrame, graph: DataFrame, least: float) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """``id, n_links, component_id, kept`` for every row."""
+    small_batches(vectors.sparkSession)
     base = materialize(prepared(vectors, id_col, vec_col, label_col), "vectors")
     usable = base.where("id is not null and key is not null")
     classes = materialize(usable.groupBy("label", "key", "id").agg(F.first("width").alias("width"), F.first("vec").alias("vec")).groupBy("label", "key").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("width").alias("width"), F.first("vec").alias("vec")), "classes")
