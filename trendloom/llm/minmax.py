@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, discard, map_batches, materialize
+from .common import arrow_schema, discard, map_batches, materialize, small_batches
 from .graph import components
 
 MASK = (1 << 64) - 1
@@ -239,6 +239,7 @@ def open_links(members: DataFrame, classes: DataFrame, sets: DataFrame, found: D
 def near_duplicates(docs: DataFrame, how: MinMax | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_shingles, component_id, kept`` for every row."""
     how = how or MinMax()
+    small_batches(docs.sparkSession)
     base = materialize(sketch(docs, how, id_col, text_col), "sketch")
     linked = base.where("id is not null and set_key is not null")
     classes = materialize(linked.groupBy("set_key").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "classes")
