@@ -159,6 +159,27 @@ def test_flat_graph(spark, monkeypatch):
     assert 0.95 * found <= again <= found
 
 
+@pytest.mark.parametrize("groups,noise,block", [(1, 0.01, 8 << 20), (1, 0.01, 60 * 16 * 8), (12, 0.035, 8 << 20), (400, 1.0, 100 * 16 * 8)])
+def test_flat_graph_beyond_a_shard(spark, monkeypatch, groups, noise, block):
+    """One group within the threshold, separate groups and noise, each larger than a shard: no link is lost."""
+    monkeypatch.setattr(flat_graph, "SHARD", 60)
+    monkeypatch.setattr(flat_graph, "BLOCK_BYTES", block)
+    draw = np.random.default_rng(5)
+    x = np.eye(16)[np.arange(400) % min(groups, 16)] + noise * draw.standard_normal((400, 16))
+    x[390:] = x[380:390] + 0.005 * draw.standard_normal((10, 16))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    same = (unit @ unit.T >= 0.98) & ~np.eye(400, dtype=bool)
+    got = {r["vec_id"]: r for r in flat_graph.near_duplicates(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()}
+    assert [got[i]["n_links"] for i in range(400)] == same.sum(1).tolist()
+    tips = np.arange(400)
+    for _ in range(400):
+        after = np.minimum(tips, np.where(same, tips[None], 400).min(1))
+        if (after == tips).all():
+            break
+        tips = after
+    assert [got[i]["component_id"] for i in range(400)] == tips.tolist()
+
+
 def test_warc(spark):
     pages = spark.createDataFrame([(3, "http://www.b.example/x?q=1", "same\r\n\r\nbody"), (1, "http://a.b.example/", "same\r\n\r\nbody"), (2, None, None), (None, "http://c.example", ""), (4, "http://a b.example/\n", "é"), (4, "http://a b.example/\n", "é")], "page_id long, url string, html string")
     rows = warc.histories(pages).collect()

@@ -1,18 +1,20 @@
 """Near-duplicates of embeddings by a robust-pruned flat graph.
 
-Vectors with one label (and width) are dealt to overlapping shards around centroids, each to its nearest few; a shard
+Vectors with one label (and width) are dealt to shards around centroids: each has its home with the nearest one and is a
+guest wherever a vector could have its home that it links with, which the planes between the centroids tell. A shard
 that is too large is dealt out again. Each shard links its vectors to near ones and prunes robustly; the adjacency lists
-of a vector from all its shards are united. Each vector is then searched for in the united graph of its nearest shard, greedily
+of a vector from all its shards are united. Each vector is then searched for in the united graph of its home, greedily
 from the shard's medoid, and widens the search over the range in which links can lie. Pairs found are verified in double
 precision. Each shard audits recall against brute force on a sample of its queries and searches again, wider, while
-the audit misses anything.
+the audit misses anything; as the shard has all that its home vectors can link with, that is recall among all of the label.
 
-Equal vectors with one label are one class from the start. Each link counts once for each end,
-where it is found, and no pair leaves a task: what goes on is a count for each vector and a
-spanning tree of each shard's links.
+A large shard that centroids don't separate (one group within the threshold, or noise) is not searched but compared
+exactly, by products of blocks, each pair of blocks in a task of its own: that is quadratic in time.
 
-Missed links: pairs that share no shard (each vector is in its nearest OVERLAP of a shard's centroids) and those the
-search misses; `tests/llm` hold recall against brute force.
+Equal vectors with one label are one class from the start. Each link counts once for each end, in that one's home, and
+no pair leaves a task: what goes on is a count for each vector and a spanning tree of each shard's links.
+
+Missed links: those that a search misses and the sampled audit doesn't see; `tests/llm` hold recall against brute force.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, vectors with a null label
 and rows without an id link with nothing (n_links 0, component their own id, kept); repeated rows of an id are one
@@ -31,7 +33,8 @@ from .graph import components
 
 SHARD = 3000  #: vectors of a shard above which it is dealt out again
 CENTROIDS = 16
-OVERLAP = 3
+SPREAD = 4  #: shards of a vector, at dealing, above which centroids don't separate
+BLOCK_BYTES = 8 << 20  #: vectors of a block of a shard that isn't separated
 LEVELS = 8
 DEGREE = 20  #: edges that pruning keeps
 NEAR = 64  #: nearest vectors that pruning chooses from
@@ -63,8 +66,29 @@ def prepared(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> D
     return frame.mapInArrow(run, schema)
 
 
-def centred(samples: DataFrame) -> DataFrame:
-    """``shard, centroids`` (flat) from ``shard, sample array<array<double>>``: a few rounds of spherical k-means."""
+def reached(x: np.ndarray, c: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centroid of each vector, and whether a vector that links with it can be nearest to each centroid.
+
+    All nearest to S lie on its side of the plane between S and any other centroid U. A link is a chord of at most
+    ``sqrt(2 - 2 least)``, so what lies farther beyond one of these planes links with none of them.
+    """
+    dots = x @ c.T
+    apart = np.linalg.norm(c[:, None] - c[None], axis=2)
+    can = np.ones(dots.shape, dtype=bool)
+    for s in range(len(c)):
+        others = apart[s] > 1e-4  # planes between almost equal centroids tell nothing
+        if others.any():
+            can[:, s] = ((dots[:, others] - dots[:, [s]]) / apart[s][others]).max(1) <= np.sqrt(max(0.0, 2 - 2 * least)) + 1e-9
+    nearest = dots.argmax(1)
+    can[np.arange(len(x)), nearest] = True
+    return nearest, can
+
+
+def centred(samples: DataFrame, least: float) -> DataFrame:
+    """``shard, centroids`` (flat) from ``shard, sample array<array<double>>``: a few rounds of spherical k-means.
+
+    Null for a shard that they don't separate.
+    """
     schema = "shard string, centroids array<double>"
 
     def run(batches):
@@ -78,57 +102,62 @@ def centred(samples: DataFrame) -> DataFrame:
                     for k in range(len(c)):
                         mean = x[near == k].sum(0) if (near == k).any() else c[k]
                         c[k] = mean / (np.linalg.norm(mean) or 1)
-                out.append(c.ravel())
+                out.append(c.ravel() if len(c) > SPREAD and reached(x, c, least)[1].sum(1).mean() <= SPREAD else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=["shard", "centroids"])
 
     return samples.mapInArrow(run, schema)
 
 
-def dealt_again(rows: DataFrame) -> DataFrame:
-    """``shard`` of each row becomes the nearest OVERLAP shards within it; takes ``centroids`` of the shard."""
-    schema = "node bigint, copies bigint, vec array<double>, shard string, first boolean"
+def dealt_again(rows: DataFrame, least: float) -> DataFrame:
+    """``shard`` of each row becomes its home and those where it is a guest; takes ``centroids`` of the shard."""
+    schema = "node bigint, copies bigint, vec array<double>, shard string, home boolean"
 
     def run(batches):
         for batch in batches:
             vec, shard = batch.column(2), np.array(batch.column(3).to_pylist(), dtype=object)
             flat, cuts = vec.values.to_numpy(), vec.offsets.to_numpy()
-            first = batch.column(4).to_numpy(zero_copy_only=False)
-            index, shards, nearest = [], [], []
+            home = batch.column(4).to_numpy(zero_copy_only=False)
+            index, shards, homes = [], [], []
             for name in dict.fromkeys(shard.tolist()):
                 own = np.flatnonzero(shard == name)
                 width = int(cuts[own[0] + 1] - cuts[own[0]])  # one width in a shard
                 x = flat[cuts[own][:, None] + np.arange(width)]
-                near = np.argsort(-(x @ np.array(batch.column(5)[int(own[0])].as_py()).reshape(-1, width).T), axis=1, kind="stable")[:, :OVERLAP]
-                index.append(np.repeat(own, near.shape[1]))
-                shards += [f"{name}.{k}" for k in near.ravel().tolist()]
-                nearest.append((first[own][:, None] & (np.arange(near.shape[1]) == 0)).ravel())
+                nearest, can = reached(x, np.array(batch.column(5)[int(own[0])].as_py()).reshape(-1, width), least)
+                at, k = np.nonzero(can)
+                index.append(own[at])
+                shards += [f"{name}.{i}" for i in k.tolist()]
+                homes.append(home[own][at] & (nearest[at] == k))
             if index:
                 take = batch.select([0, 1, 2]).take(pa.array(np.concatenate(index)))
-                yield pa.RecordBatch.from_arrays([*take.columns, pa.array(shards, pa.string()), pa.array(np.concatenate(nearest))], names=["node", "copies", "vec", "shard", "first"])
+                yield pa.RecordBatch.from_arrays([*take.columns, pa.array(shards, pa.string()), pa.array(np.concatenate(homes))], names=["node", "copies", "vec", "shard", "home"])
 
-    return rows.select("node", "copies", "vec", "shard", "first", "centroids").mapInArrow(run, schema)
+    return rows.select("node", "copies", "vec", "shard", "home", "centroids").mapInArrow(run, schema)
 
 
-def dealt(classes: DataFrame) -> DataFrame:
-    """``node, copies, vec, shard, shards, home``: a row for each shard of a class, with all its shards and the nearest."""
-    rows = classes.select("node", "copies", "vec", F.concat_ws("/", F.col("width").cast("string"), "label").alias("shard"), F.lit(True).alias("first"))
-    done, last = None, None
-    for level in range(LEVELS):
-        sizes = rows.groupBy("shard").agg(F.count("*").alias("size"))
-        large = materialize(sizes.where(F.col("size") > SHARD), "large")
+def dealt(classes: DataFrame, least: float) -> DataFrame:
+    """``node, copies, vec, shard, home, size``: a row for each shard of a class.
+
+    ``size`` is that of a shard which is too large and isn't separated, null for the others.
+    """
+    rows = classes.select("node", "copies", "vec", F.concat_ws("/", F.col("width").cast("string"), "label").alias("shard"), F.lit(True).alias("home"), F.lit(None).cast("bigint").alias("size"))
+    rows = materialize(rows, "shards")
+    for level in range(LEVELS + 1):
+        sizes = rows.where("size IS NULL").groupBy("shard").agg(F.count("*").alias("n"))
+        large = materialize(sizes.where(F.col("n") > SHARD), "large")
         if large.isEmpty():
             break
         # About 20 sampled vectors for each centroid, so the sample of a shard is bounded.
-        sampled = rows.join(large, "shard").where(F.pmod(F.xxhash64("node", F.lit(level)), F.greatest(F.lit(1), (F.col("size") / (20 * CENTROIDS)).cast("bigint"))) == 0)
-        centroids = centred(sampled.groupBy("shard").agg(F.collect_list("vec").alias("sample")))
-        small = rows.join(large, "shard", "left_anti")
-        again = dealt_again(rows.join(centroids, "shard"))
-        done = materialize(small.unionByName(again), "shards")
-        if last is not None:
-            discard(last)
-        rows = last = done
-    every = rows.groupBy("node").agg(F.collect_set("shard").alias("shards"), F.max(F.when(F.col("first"), F.col("shard"))).alias("home"))  # OVERLAP ** LEVELS at most
-    return rows.join(every, "node")
+        sampled = rows.join(large, "shard").where(F.pmod(F.xxhash64("node", F.lit(level)), F.greatest(F.lit(1), (F.col("n") / (20 * CENTROIDS)).cast("bigint"))) == 0)
+        centroids = centred(sampled.groupBy("shard").agg(F.collect_list("vec").alias("sample")), least)
+        cuts = materialize((large.join(centroids, "shard", "left") if level < LEVELS else large.withColumn("centroids", F.lit(None).cast("array<double>"))), "centroids")
+        found = rows.join(cuts, "shard", "left")
+        same = found.where("centroids IS NULL").select("node", "copies", "vec", "shard", "home", F.coalesce("size", "n").alias("size"))
+        again = dealt_again(found.where("centroids IS NOT NULL"), least).withColumn("size", F.lit(None).cast("bigint"))
+        done = materialize(same.unionByName(again), "shards")
+        for old in (large, cuts, rows):
+            discard(old)
+        rows = done
+    return rows
 
 
 def pruned(x: np.ndarray) -> list[list[int]]:
@@ -242,22 +271,15 @@ def found_in(x: np.ndarray, edges: list[list[int]], least: float, asked: np.ndar
 
 
 def search(shards: DataFrame, graph: DataFrame, least: float) -> DataFrame:
-    """``node, links, root, recall``: each vector is searched for in its nearest shard.
-
-    What it finds is counted for it. A vector found there that has another nearest shard finds it too, if it is in
-    that one; if it isn't, the link is counted here for both.
-    """
-    rows = shards.join(graph, "node").select("shard", "node", "copies", "vec", "shards", "home", "near")
+    """``node, links, root, recall``: each vector is searched for in its home, which has all that it can link with."""
+    rows = shards.join(graph, "node").select("shard", "node", "copies", "vec", "home", "near")
 
     def run(part):
         part, node, x = members(part.to_batches())
-        shard = part.column("shard")[0].as_py()
         place = {int(v): i for i, v in enumerate(node)}
         edges = [[place[j] for j in near if j in place] for near in part.column("near").to_pylist()]
-        homes = part.column("home").to_pylist()
-        links, recall = found_in(x, edges, least, np.array([i for i, h in enumerate(homes) if h == shard], dtype=np.int64))
-        copies, lists = part.column("copies").to_numpy(), [set(v) for v in part.column("shards").to_pylist()]
-        away = np.array([h != shard for h in homes])
+        links, recall = found_in(x, edges, least, np.flatnonzero(np.array(part.column("home").to_pylist(), dtype=bool)))
+        copies = part.column("copies").to_numpy()
         root, counts = list(range(len(node))), np.zeros(len(node), dtype=np.int64)
 
         def top(i: int) -> int:
@@ -271,27 +293,74 @@ def search(shards: DataFrame, graph: DataFrame, least: float) -> DataFrame:
                 a, b = sorted((top(i), top(j)))
                 root[b] = a
             counts[i] += copies[near].sum()
-            for j in near[away[near]].tolist():
-                if homes[j] not in lists[i]:
-                    counts[j] += copies[i]
         return pa.table({"node": node, "links": counts, "root": node[[top(i) for i in range(len(node))]], "recall": np.full(len(node), recall)})
 
     return rows.groupBy("shard").applyInArrow(run, "node bigint, links bigint, root bigint, recall double")
 
 
+def compared(x: np.ndarray, y: np.ndarray | None, copies: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links and root of the vectors ``x`` among each other, or of ``x`` with ``y`` (counted behind them): all products."""
+    n, base = len(x), x if y is None else y
+    shift = 0 if y is None else n
+    root, counts, weights = np.arange(shift + len(base)), np.zeros(shift + len(base)), copies.astype(np.float64)
+    step = max(1, (2 << 20) // max(1, len(base)))
+    for i in range(0, n, step):
+        start = i if y is None else 0
+        hit = x[i : i + step] @ base[start:].T >= least
+        if y is None:
+            hit = np.triu(hit, 1)  # each pair once
+        rows, cols = np.arange(i, i + len(hit)), np.arange(shift + start, shift + len(base))
+        told = hit.astype(np.float64)
+        counts[rows] += told @ weights[cols]
+        counts[cols] += weights[rows] @ told
+        for r in np.flatnonzero((hit & (root[rows][:, None] != root[cols])).any(1)):
+            others = np.unique(np.append(root[cols[hit[r]]], root[rows[r]]))
+            for other in others[1:]:
+                root[root == other] = others[0]
+    return counts.astype(np.int64), root
+
+
+def compare(dense: DataFrame, least: float) -> DataFrame:
+    """``node, links, root, recall`` of shards that aren't separated: exact, a task for each pair of a shard's blocks."""
+    blocks = F.ceil(F.col("size") * F.size("vec") * 8 / BLOCK_BYTES).cast("bigint")
+    packed_schema = "shard string, block bigint, blocks bigint, node array<bigint>, copies array<bigint>, home array<boolean>, vec array<double>"
+
+    def pack(part):
+        part, node, x = members(part.to_batches())
+        first = part.slice(0, 1)
+        one = lambda values, kind: pa.array([values], pa.list_(kind))
+        return pa.table({"shard": first.column("shard"), "block": first.column("block"), "blocks": first.column("blocks"), "node": one(node, pa.int64()), "copies": one(part.column("copies").to_numpy(), pa.int64()), "home": one(part.column("home").to_numpy(), pa.bool_()), "vec": one(x.ravel(), pa.float64())})
+
+    def run(part):
+        held = []
+        for k in range(part.num_rows):
+            node, copies, home, vec = (part.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("node", "copies", "home", "vec"))
+            held.append((node, copies, home.astype(bool), vec.reshape(len(node), -1)))
+        node, copies, home = (np.concatenate([h[c] for h in held]) for c in range(3))
+        counts, root = compared(held[0][3], held[1][3] if len(held) > 1 else None, copies, least)
+        return pa.table({"node": node, "links": np.where(home, counts, 0), "root": node[root], "recall": np.ones(len(node))})
+
+    dealt_out = dense.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    packed = dealt_out.select("shard", "block", "blocks", "node", "copies", "home", "vec").groupBy("shard", "block").applyInArrow(pack, packed_schema)
+    sent = packed.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    pairs = sent.select("shard", "low", "high", "node", "copies", "home", "vec")
+    return pairs.groupBy("shard", "low", "high").applyInArrow(run, "node bigint, links bigint, root bigint, recall double")
+
+
 def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """``id, n_links, component_id, kept`` for every row."""
     small_batches(vectors.sparkSession)
     base = materialize(prepared(vectors, id_col, vec_col, label_col), "vectors")
     usable = base.where("id is not null and key is not null")
     classes = materialize(usable.groupBy("label", "key", "id").agg(F.first("width").alias("width"), F.first("vec").alias("vec")).groupBy("label", "key").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("width").alias("width"), F.first("vec").alias("vec")), "classes")
-    shards = materialize(dealt(classes), "shards")
+    every = dealt(classes, least)
+    shards, dense = every.where("size IS NULL"), every.where("size IS NOT NULL")
     graph = materialize(build(shards).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
-    met = materialize(search(shards, graph, least), "links")
+    met = materialize(search(shards, graph, least).unionByName(compare(dense, least)), "links")
     roots = components(met.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = met.groupBy("node").agg(F.sum("links").alias("links"), F.min("recall").alias("audited_recall"))
     by_class = classes.join(links, "node").join(roots, "node", "left").select("label", "key", (F.col("copies") - 1 + F.col("links")).alias("n_links"), F.coalesce("component", "node").alias("component"), "audited_recall")
-    for done in (shards, graph):
+    for done in (every, graph):
         discard(done)
     return (
         base.select("id", "label", F.when(F.col("id").isNotNull(), F.col("key")).alias("key"))
