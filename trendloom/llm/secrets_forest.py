@@ -1,6 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-A text is cut at candidate strings, so a candidate's neighbours are the ends of the pieces around it. A forest trained
+A candidate is a key in a block, the value of a name with a word of secrets (quoted or not, from 4 characters on), or
+a run of 16 key characters; of name=value the value alone. A text is cut at candidate strings, so a candidate's neighbours are the ends of the pieces around it. A forest trained
 from labelled findings judges length, character transitions, dictionary coverage, the path and neighbouring words. Its
 trees are written as a column expression: a text is scanned in one pass with SQL functions, nothing is shuffled or sent
 to Python, and redaction joins the pieces again.
@@ -24,8 +25,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Strings that may be secrets: keys in a block, and long runs of key characters.
-CANDIDATE = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8000}(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?|[A-Za-z0-9+/=_.~-]{16,}"
+#: A name with a word of secrets, and what stands between it and its value.
+NAME = r"(?i:secret|token|passw|passphrase|pwd|api[ _-]?key|access[ _-]?key|auth|credential|private[ _-]?key)[A-Za-z0-9_-]{0,24}[\"'`\]]{0,2}\s{0,4}(?::=|=>|[=:])\s{0,4}(?:(?i:bearer|basic)\s{1,4})?[\"'`]?(?:(?i:bearer|basic)\s{1,4})?"
+#: Strings that may be secrets: keys in a block, values of such names at any length from 4 on, and long runs of key characters.
+CANDIDATE = rf"-----BEGIN [A-Z ]{{0,20}}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{{0,20}}PRIVATE KEY-----)?|{NAME}(?:(?<=[\"'`])[^\"'`\r\n]{{4,256}}(?=[\"'`])|[^\s\"'`<>&]{{4,}}(?:&(?![A-Za-z_]{{1,32}}=)[^\s\"'`<>&]*){{0,8}})|[A-Za-z0-9+/=_.~-]{{16,}}"
+#: What stands before the value in a candidate, and what ends it if it isn't quoted.
+BEFORE = rf"^(?:{NAME}|[A-Za-z_][A-Za-z0-9_.-]{{0,63}}=(?=[^=]))"
+AFTER = r"(?<=[^.,;:)}\]])[.,;:)}\]]+$"
 AROUND = 64  #: characters looked at on each side
 
 # Kinds of secrets with known shapes.
@@ -46,6 +52,10 @@ SHAM_WORDS = r"(?i)(example|sample|dummy|fake|placeholder|your[ _-]|changeme|xxx
 TEST_PATHS = r"(?i)(test|spec|mock|fixture|example|sample|doc)"
 
 
+def in_sql(pattern: str) -> str:
+    return pattern.replace("\\", "\\\\").replace("'", "\\'")
+
+
 def quoted(pattern: str) -> str:
     """A pattern in SQL text and in a format string."""
     return pattern.replace("\\", "\\\\").replace("{", "{{").replace("}", "}}")
@@ -96,13 +106,16 @@ def labelled_findings(n: int, seed: int) -> list[dict]:
     name = lambda: "".join(rnd.choice(PARTS).capitalize() for _ in range(rnd.randint(3, 6)))
     key = lambda: rnd.choice(["token", "secret", "api_key", "apikey", "password", "client_secret", "access_key", "AUTH_TOKEN", "passwd", "db_password"]) + rnd.choice([" = ", "=", ": ", " := ", ' => ']) + rnd.choice(['"', "'", "", '"'])
     shaped = [lambda: "AKIA" + run(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + run(alnum, 36), lambda: "xoxb-" + run(string.digits, 12) + "-" + run(alnum, 24), lambda: "sk_live_" + run(alnum, 24), lambda: "AIza" + run(alnum + "_-", 35), lambda: "eyJ" + run(alnum, 20) + ".eyJ" + run(alnum, 40) + "." + run(alnum + "_-", 43)]
+    short = lambda: run(string.ascii_letters, 2) + run(alnum + "!@#$%^*?_-", rnd.randint(4, 11)) + rnd.choice(string.digits) + rnd.choice(["", "!", "#"])
     good = [
         lambda: (run(hexa, rnd.choice([32, 40, 40, 64])), f"{prose(4)} {key()}", '" ' + prose(3)),
         lambda: (run(alnum, rnd.randint(20, 48)), f"{prose(4)} {key()}", '"\n' + prose(3)),
         lambda: (run(alnum + "+/", rnd.randint(24, 64)) + "=", f"{prose(3)} {key()}", "' " + prose(3)),
         lambda: (rnd.choice(shaped)(), rnd.choice([f"{prose(4)} {key()}", f"{prose(5)} "]), " " + prose(3)),
-        lambda: ("-----BEGIN RSA PRIVATE KEY-----\n" + run(alnum + "+/", 200), prose(3) + "\n", "\n" + prose(2)),
+        lambda: ("-----BEGIN RSA PRIVATE KEY-----\n" + run(alnum + "+/", 200) + "\n-----END RSA PRIVATE KEY-----", prose(3) + "\n", "\n" + prose(2)),
         lambda: (run(alnum, rnd.randint(22, 40)), f"{prose(3)} Authorization: Bearer ", "\n" + prose(3)),
+        lambda: (short(), f"{prose(3)} {key()}", rnd.choice(['"', "'", "", "\n"]) + " " + prose(3)),
+        lambda: (rnd.choice(shaped)(), f"{prose(3)} {rnd.choice(['KEY_ID=', 'id=', 'value=', 'x='])}", rnd.choice(["", "."]) + " " + prose(3)),
     ]
     bad = [
         lambda: (run(string.digits, rnd.randint(16, 19)), f"{prose(5)} ", " " + prose(3)),
@@ -117,6 +130,9 @@ def labelled_findings(n: int, seed: int) -> list[dict]:
         lambda: (rnd.choice(["your-api-key-goes-here", "xxxxxxxxxxxxxxxxxxxx", "EXAMPLE_TOKEN_VALUE", "changeme_changeme", "<your_secret_token>"[1:-1]]), f"{prose(3)} {key()}", '" ' + prose(3)),
         lambda: ("-".join(rnd.choice(PARTS) for _ in range(5)), f"{prose(2)} {rnd.choice(['https://site.example/', '/', ''])}", " " + prose(3)),
         lambda: (run("=-_.", 20), "\n", "\n" + prose(3)),
+        lambda: (rnd.choice([*PARTS, "none", "null", "true", "false", "None", "required", "optional", "required.", "string", "String", "1024", "4096", "os.environ", "self.token", "request.token", "getToken()", "${TOKEN}", "%(password)s", "Smithson", "input()"]), f"{prose(3)} {key()}", rnd.choice(['"', "'", "", "\n"]) + " " + prose(3)),
+        lambda: ("".join(rnd.choice(syllable) for _ in range(rnd.randint(2, 6))), f"{prose(3)} {key()}", rnd.choice(["", "\n", '"']) + " " + prose(3)),
+        lambda: (rnd.choice([run(string.digits, rnd.randint(1, 8)), name(), name().lower(), rnd.choice(PARTS)]), f"{prose(3)} {rnd.choice(PARTS)}_{rnd.choice(PARTS)}_{rnd.choice(PARTS)}=", " " + prose(3)),
         lambda: (run(alnum + "+/", 120), f"{prose(2)} src=data:image/png;base64,", '" ' + prose(2)),
     ]
     paths = ["src/app.py", "config/settings.yml", "web", "src3", "", "deploy/run.sh"]
@@ -167,8 +183,8 @@ def pieces(docs: DataFrame, text_col: str, path_col: str | None, how: Forest, on
     """Adds ``__rest``, the text between candidates, and ``__found``: an array of candidate, kind and score."""
     vote = trained(docs.sparkSession, how)
     path = f"coalesce(cast(`{path_col}` AS string), '')" if path_col else "''"
-    cut = CANDIDATE.replace("\\", "\\\\")
-    kind = "CASE " + " ".join(f"WHEN c RLIKE '{pattern.replace(chr(92), chr(92) * 2)}' THEN '{name}'" for name, pattern in KINDS.items()) + " ELSE 'generic' END"
+    cut = in_sql(CANDIDATE)
+    kind = "CASE " + " ".join(f"WHEN v.c RLIKE '{in_sql(pattern)}' THEN '{name}'" for name, pattern in KINDS.items()) + " ELSE 'generic' END"
     if only_found:
         docs = docs.where(F.expr(f"`{text_col}` RLIKE '{cut}'"))
     held = docs.withColumn("__all", F.expr(f"regexp_extract_all(`{text_col}`, '{cut}', 0)"))
@@ -176,9 +192,13 @@ def pieces(docs: DataFrame, text_col: str, path_col: str | None, how: Forest, on
     features = feature_sql("x.c", "x.b", "x.a", path)
     # Each array is made from whole arrays: nothing inside a lambda function is worth more than its element.
     ends = f"zip_with(slice(__rest, 1, size(__all)), slice(__rest, 2, size(__all)), (b, a) -> named_struct('b', right(b, {AROUND}), 'a', left(a, {AROUND})))"
-    around = f"zip_with(__all, {ends}, (c, e) -> named_struct('c', c, 'b', e.b, 'a', e.a))"
-    found = f"zip_with(__all, transform(transform({around}, x -> {features}), f -> {vote}), (c, s) -> named_struct('candidate', c, 'kind', {kind}, 'score', s))"
-    return held.withColumn("__found", F.expr(f"if(size(__all) > 0, {found}, cast(array() AS array<struct<candidate: string, kind: string, score: double>>))")).drop("__all")
+    around = f"zip_with(__all, {ends}, (c, e) -> named_struct('c', c, 'b', e.b, 'a', e.a, 'before', regexp_extract(c, '{in_sql(BEFORE)}', 0)))"
+    # The value alone is the candidate: its name and the signs after it stand around it.
+    value = f"transform({around}, x -> named_struct('c', substring(x.c, length(x.before) + 1), 'b', x.b, 'a', x.a, 'before', x.before, 'after', if(x.before RLIKE '[\"\\'`]', '', regexp_extract(substring(x.c, length(x.before) + 1), '{in_sql(AFTER)}', 0))))"
+    value = f"transform({value}, x -> named_struct('c', left(x.c, length(x.c) - length(x.after)), 'b', right(concat(x.b, x.before), {AROUND}), 'a', left(concat(x.after, x.a), {AROUND}), 'before', x.before, 'after', x.after))"
+    held = held.withColumn("__value", F.expr(f"if(size(__all) > 0, {value}, cast(array() AS array<struct<c: string, b: string, a: string, before: string, after: string>>))"))
+    found = f"zip_with(__value, transform(transform(__value, x -> {features}), f -> {vote}), (v, s) -> named_struct('candidate', v.c, 'kind', {kind}, 'score', s, 'before', v.before, 'after', v.after))"
+    return held.withColumn("__found", F.expr(f"if(size(__all) > 0, {found}, cast(array() AS array<struct<candidate: string, kind: string, score: double, before: string, after: string>>))")).drop("__all", "__value")
 
 
 def scan(docs: DataFrame, how: Forest | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
@@ -193,6 +213,6 @@ def redact(docs: DataFrame, how: Forest | None = None, text_col: str = "text", p
     """The documents, all columns, with ``sign`` in place of each secret."""
     how = how or Forest()
     held = pieces(docs, text_col, path_col, how)
-    held = held.withColumn("__signs", F.expr(f"transform(__found, x -> if(x.score >= {how.threshold}D, '{sign}', x.candidate))"))
+    held = held.withColumn("__signs", F.expr(f"transform(__found, x -> if(x.score >= {how.threshold}D, concat(x.before, '{sign}', x.after), concat(x.before, x.candidate, x.after)))"))
     clean = "if(size(__signs) > 0, array_join(zip_with(__rest, __signs, (r, c) -> concat(r, coalesce(c, ''))), ''), {text})".format(text=f"`{text_col}`")
     return held.withColumn(text_col, F.expr(clean)).drop("__rest", "__found", "__signs")
