@@ -117,24 +117,57 @@ def suffixes_by_force(texts, length=50):
     return out
 
 
-def test_repeated_passages(spark, corpus):
-    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.removals(docs_table(spark, corpus)).collect()}
-    assert [got[i] for i in range(len(corpus))] == suffixes_by_force(corpus)
-    cut = {r["doc_id"]: r["text"] for r in suffix_dedup.cut(docs_table(spark, corpus)).collect()}
+SMALL = suffix_dedup.Sizes(pack_bytes=3000, hot=1 << 16)
+
+
+@pytest.mark.parametrize("sizes", [suffix_dedup.Sizes(), SMALL, suffix_dedup.Sizes(hot=1), suffix_dedup.Sizes(pack_bytes=3000, hot=1)])
+def test_repeated_passages(spark, corpus, sizes):
+    """One pack and many, anchors gathered and dealt window by window."""
+    phrase = "a phrase that is in every document"
+    texts = [*corpus, *(f"{random.Random(i).randbytes(40).hex()} {phrase} {random.Random(-i).randbytes(40).hex()}" for i in range(40))]
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.removals(docs_table(spark, texts), sizes=sizes).collect()}
+    assert [got[i] for i in range(len(texts))] == suffixes_by_force(texts)
+
+
+def test_cut(spark, corpus):
+    table = docs_table(spark, corpus)
+    done = suffix_dedup.cut(table, sizes=SMALL)
+    assert done.schema == table.schema
+    cut = {r["doc_id"]: r["text"] for r in done.collect()}
     assert cut[0] == corpus[0] and all(cut[i] == ("" if len(corpus[i].encode()) >= 50 else corpus[i]) for i in (60, 66, 72))
+    assert [i for i in cut if cut[i] is None] == [i for i, t in enumerate(corpus) if t is None]
 
 
 def test_repeated_passages_of_odd_rows(spark):
     same = spark.createDataFrame([(None, "y" * 80, 1.0, ""), (7, "y" * 80, 1.0, ""), (7, "y" * 80, 1.0, "")], DOCS)
     assert [r["n_removed"] for r in suffix_dedup.removals(same).collect()] == [0, 0, 0]
     assert suffix_dedup.removals(odd(spark)).count() == 5 and suffix_dedup.removals(odd(spark).limit(0)).count() == 0
+    assert suffix_dedup.cut(odd(spark).limit(0)).count() == 0
+    clash = spark.createDataFrame([(1, "z" * 60, 1, 2, None), (2, "z" * 60, 3, 4, "k")], "doc_id long, text string, __doc int, pack int, blob string")
+    assert sorted(map(tuple, suffix_dedup.cut(clash).collect())) == [(1, "z" * 60, 1, 2, None), (2, "", 3, 4, "k")]
+
+
+@pytest.mark.parametrize("sizes", [suffix_dedup.Sizes(), suffix_dedup.Sizes(pack_bytes=100)])
+def test_two_texts_under_one_id(spark, sizes):
+    rnd = random.Random(9)
+    words = lambda k: " ".join(rnd.choice("alpha beta gamma delta omega sigma kappa zeta".split()) + str(rnd.randint(0, 99)) for _ in range(k))
+    first, second = words(200), words(20)
+    rows = [(5, f"{second} {first}"), (5, second), (5, None), (3, first[:700]), (9, second + "!")]
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string"), sizes=sizes).collect())
+    size = len(second)
+    assert got == sorted([(3, 700, 0), (5, 0, 0), (5, size, 0), (5, size + 1 + len(first), 700), (9, size + 1, size)])
 
 
-def test_long_text_is_taken_in_chunks(monkeypatch):
-    content = random.Random(2).randbytes(5000).hex().encode()
+def test_long_text_is_taken_in_chunks(monkeypatch, spark):
+    content = np.frombuffer(random.Random(2).randbytes(5000).hex().encode(), np.uint8)
     whole = suffix_dedup.anchors(content)
     monkeypatch.setattr(suffix_dedup, "CHUNK", 300)
     assert all((a == b).all() for a, b in zip(whole, suffix_dedup.anchors(content), strict=True))
+    monkeypatch.undo()
+    long, rnd = random.Random(3).randbytes(1_500_000).hex(), random.Random(4)  # 3 MB, over several chunks
+    cuts = [rnd.randrange(0, len(long) - 300) for _ in range(20)]
+    rows = suffix_dedup.removals(docs_table(spark, [long, *(long[c : c + 300] for c in cuts), "a" * 400_000, "a" * 300_000])).collect()
+    assert [r["n_removed"] for r in sorted(rows, key=lambda r: r["doc_id"])] == [0, *([300] * 20), 0, 300_000]
 
 
 def test_flat_graph(spark, monkeypatch):
