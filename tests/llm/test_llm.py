@@ -41,27 +41,73 @@ def odd(spark):
     return spark.createDataFrame([(None, "some text", 1.0, "a"), (None, None, None, None), (5, None, None, None), (5, "twice", 1.0, "b"), (5, "twice", 1.0, "b")], DOCS)
 
 
+def figures_by_force(text, chunk=4096):
+    import zstandard
+
+    ratio = lambda c: len(zstandard.ZstdCompressor(level=3).compress(c)) / len(c)
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = Counter(zip(words, words[1:], words[2:]))
+    inside = {j + k for j in range(len(words) - 2) if windows[tuple(words[j : j + 3])] > 1 for k in range(3)}
+    lines, seen = (text or "").split("\n"), set()
+    again = sum(1 for line in lines if (line in seen or seen.add(line)) and re.search(r"[^\x20\x09-\x0D]", line))
+    content = (text or "").encode()
+    failed = len(words) < 50 or 100 * len(inside) > 50 * len(words)
+    return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), again, len(inside), failed), len(content), ratio(content) if content else None, [ratio(content[i : i + chunk]) for i in range(0, len(content), chunk)]
+
+
 def test_quality_rules(spark, corpus):
-    got = {r["doc_id"]: r for r in quality_rules.score(docs_table(spark, corpus)).collect()}
-    for i, text in enumerate(corpus):
-        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
-        windows = Counter(zip(words, words[1:], words[2:]))
-        inside = {j + k for j in range(len(words) - 2) if windows[tuple(words[j : j + 3])] > 1 for k in range(3)}
-        lines, seen = (text or "").split("\n"), set()
-        again = sum(1 for line in lines if (line in seen or seen.add(line)) and re.search(r"[^\x20\x09-\x0D]", line))
+    """All columns against brute force, the corpus' limits and the verdict included."""
+    rnd = random.Random(12)
+    vocabulary = ["".join(rnd.choice("abcdefghijkl") for _ in range(rnd.randint(2, 9))) for _ in range(3000)]
+    texts = [*corpus, *(" ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(120, 260))) for _ in range(160))]
+    texts += [" ".join(rnd.choice(vocabulary[:60]) for _ in range(170)), "# " + base64.b85encode(rnd.randbytes(1000)).decode() + " $|" * 50, " ".join(rnd.choice(vocabulary) for _ in range(2500)), "k " * 4000]
+    texts += [texts[-1]] * 200  # copies count once
+    rules = quality_rules.Bands(enough=20)
+    own = [figures_by_force(t) for t in texts]
+    pairs = {(n, round(r, 4)) for _, n, r, _ in own if n >= 128}
+    limits = {}
+    for at in {int(np.floor(2 * np.log2(n))) for n, _ in pairs}:
+        group = [r for n, r in pairs if int(np.floor(2 * np.log2(n))) == at]
+        if len(group) >= 20:
+            low, high = np.quantile(group, [0.25, 0.75])
+            limits[at] = (low - 2 * max(high - low, 0.008), high + 3 * max(high - low, 0.008))
+
+    def out(n, r):
+        low, high = next(((a, b) for least, a, b in reversed(rules.bands) if n >= least), (0, 99))
+        if n >= 128 and int(np.floor(2 * np.log2(n))) in limits:
+            low, high = max(low, limits[int(np.floor(2 * np.log2(n)))][0]), min(high, limits[int(np.floor(2 * np.log2(n)))][1])
+        return -1 if r < low else int(r > high)
+
+    got = {r["doc_id"]: r for r in quality_rules.score(docs_table(spark, texts), rules).collect()}
+    told = Counter()
+    for i, (base, n, ratio, chunks) in enumerate(own):
         r = got[i]
-        assert (r["n_words"], r["word_chars"], r["n_repeat_words"], r["n_dup_lines"]) == (len(words), sum(map(len, words)), len(inside), again)
-        assert r["base_failed"] == (len(words) < 50 or 100 * len(inside) > 50 * len(words))
-        assert not (r["base_failed"] and r["kept"])
-    assert quality_rules.keep(docs_table(spark, corpus)).columns == ["doc_id", "text", "score", "id"]
+        assert tuple(r[c] for c in quality_rules.BASE) == base
+        n_out = sum(out(min(4096, n - 4096 * k), c) != 0 for k, c in enumerate(chunks))
+        band = out(n, ratio) if n else 0
+        assert (r["zstd_ratio"], r["n_chunks"], r["n_chunks_out"], r["band"]) == (ratio, len(chunks), n_out, band)
+        assert r["kept"] == (not base[-1] and not band and n_out <= 0.5 * len(chunks))
+        told[band, base[-1]] += 1
+    assert told[-1, False] and told[1, False]  # both sides reject texts that the base rules keep
+    left = {r["doc_id"] for r in quality_rules.keep(docs_table(spark, texts), rules).collect()}
+    assert left == {i for i in got if got[i]["kept"]}
+
+
+def test_quality_rules_of_odd_rows(spark):
+    assert quality_rules.keep(odd(spark)).columns == ["doc_id", "text", "score", "id"]
     assert quality_rules.score(odd(spark)).count() == 5 and quality_rules.keep(odd(spark)).count() == 0
+    assert quality_rules.score(odd(spark).limit(0)).count() == 0 and quality_rules.keep(odd(spark).limit(0)).count() == 0
+    assert {tuple(r)[1:] for r in quality_rules.score(odd(spark)).where("n_words = 0").collect()} == {(0, 0, 0, 0, 0, True, False, None, 0, 0, 0)}
 
 
 def test_compression_bands(spark):
+    """The fixed limits alone, on long texts."""
     rnd = random.Random(1)
-    noise = base64.b85encode(rnd.randbytes(30000)).decode()
-    rows = {r["doc_id"]: r["band"] for r in quality_rules.score(docs_table(spark, ["word " * 3000, noise, " ".join(f"{rnd.choice('abcdefg')}{rnd.choice('aeiou')}{rnd.choice('mnrst')}" for _ in range(3000))])).collect()}
-    assert rows == {0: -1, 1: 0 if rows[1] == 0 else 1, 2: 0}
+    noise = "".join(chr(rnd.randrange(0x20000, 0x2A000)) + " " * (i % 8 == 0) for i in range(30000))
+    rows = {r["doc_id"]: (r["band"], r["kept"]) for r in quality_rules.score(docs_table(spark, ["word " * 3000, noise, " ".join(f"{rnd.choice('abcdefg')}{rnd.choice('aeiou')}{rnd.choice('mnrst')}" for _ in range(3000))])).collect()}
+    rules = quality_rules.Bands(bands=((128, 0.16, 0.6),))
+    again = {r["doc_id"]: r["band"] for r in quality_rules.score(docs_table(spark, ["word " * 3000, noise]), rules).collect()}
+    assert rows[0] == (-1, False) and rows[2] == (0, True) and again == {0: -1, 1: 1}
 
 
 def components_by_force(texts, size, percent):
@@ -332,16 +378,140 @@ def test_secret_values_apart_from_names(spark):
     assert found >= 0.9 * len(held)
 
 
+def secrets_by_force(text, path):
+    """Candidates of a text with their features, in plain Python."""
+    out, at, pieces, found = [], 0, [], []
+    for m in re.finditer(secrets_forest.CANDIDATE, text):
+        pieces.append(text[at : m.start()])
+        found.append(m[0])
+        at = m.end()
+    pieces.append(text[at:])
+    for i, whole in enumerate(found):
+        before = (re.match(secrets_forest.BEFORE, whole) or [""])[0]
+        c = whole[len(before) :]
+        after = "" if re.search("[\"'`]", before) else (re.search(secrets_forest.AFTER, c) or [""])[0]
+        c = c[: len(c) - len(after)]
+        b, a = (pieces[i][-64:] + before)[-64:], (after + pieces[i + 1][:64])[:64]
+        n = lambda pattern, t=c: len(re.findall(pattern, t)) / len(c)  # noqa: E731, B023
+        has = lambda pattern, t: float(bool(re.search(pattern, t)))
+        parts = "|".join(secrets_forest.PARTS)
+        features = {
+            "length": min(len(c), 200), "digits": n("[0-9]"), "capitals": n("[A-Z]"), "signs": n("[^A-Za-z0-9]"),
+            "digit_transitions": n("[A-Za-z](?=[0-9])") + n("[0-9](?=[A-Za-z])"), "case_transitions": n("[a-z](?=[A-Z])") + n("[A-Z](?=[A-Z][a-z])"),
+            "vowel_transitions": n("(?i)[aeiou](?=[b-df-hj-np-tv-z])"), "distinct": min(1, len(set(c)) / min(len(c), 64)),
+            "beyond_hex": 1 - has("^[0-9a-fA-F-]+$", c), "uuid": has("^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$", c),
+            "dictionary": 1 - len(re.sub(f"(?i)({parts})", "", c)) / len(c), "known_shape": has("|".join(secrets_forest.KINDS.values()), c),
+            "assigned": has("[=:]\\s*[\"'`]?$", b), "secret_word": has(secrets_forest.SECRET_WORDS, b[-32:]), "other_word": has(secrets_forest.OTHER_WORDS, b[-32:]),
+            "sham_word": has(secrets_forest.SHAM_WORDS, b[-24:] + c + a[:24]), "path_before": has("(/|\\\\|@|www[.])$", b), "test_path": has(secrets_forest.TEST_PATHS, path),
+        }
+        out.append((c, features))
+    return out
+
+
+def test_secret_scores_by_force(spark):
+    """Candidates and features are made again in Python, and the trees are walked node by node."""
+    how = secrets_forest.Forest()
+    model = secrets_forest.fit(secrets_forest.findings_table(spark, secrets_forest.labelled_findings(how.findings, how.seed)), how)
+    names = list(secrets_forest.FEATURES)
+
+    def tree(node):
+        if node.getClass().getSimpleName() == "LeafNode":
+            stats = list(node.impurityStats().stats())
+            return stats[1] / sum(stats)
+        return node.split().featureIndex(), node.split().threshold(), tree(node.leftChild()), tree(node.rightChild())
+
+    trees = [tree(t.rootNode()) for t in model._java_obj.trees()]
+
+    def vote(node, x):
+        while isinstance(node, tuple):
+            node = node[2] if x[node[0]] <= node[1] else node[3]
+        return node
+
+    made = secrets_forest.labelled_findings(300, seed=97)
+    texts = [f["b"] + f["c"] + f["a"] for f in made] + ["no finding", "x " * 70_000 + 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"']
+    table = spark.createDataFrame([(i, t, f"src/{i}.py") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    rows = {(r["doc_id"], r["n"]): r for r in secrets_forest.scan(table, how, path_col="source").collect()}
+    want = {(i, n): found for i, t in enumerate(texts) for n, found in enumerate(secrets_by_force(t, f"src/{i}.py"))}
+    assert rows.keys() == want.keys() and len(want) > 250
+    for key, (c, features) in want.items():
+        x = [features[f] for f in names]
+        score = sum(vote(t, x) for t in trees) / len(trees)
+        assert abs(rows[key]["score"] - score) < 1e-5, (c, features)
+        assert rows[key]["sha256"] == hashlib.sha256(c.encode()).hexdigest() and rows[key]["length"] == len(c)
+        assert rows[key]["is_secret"] == (score >= how.threshold) or abs(score - how.threshold) < 1e-5
+
+
+def test_secrets_of_odd_rows(spark):
+    assert secrets_forest.scan(odd(spark).limit(0)).count() == 0 and secrets_forest.redact(odd(spark).limit(0)).count() == 0
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    clash = spark.createDataFrame([(1, f'token = "{key}"', "k", 2, "r", "s"), (1, None, "k", 2, "r", "s")], "doc_id long, text string, __all string, found int, rest string, x string")
+    clean = secrets_forest.redact(clash, path_col="x")
+    assert clean.columns == clash.columns and sorted(map(tuple, clean.collect()), key=str) == [(1, 'token = "[SECRET]"', "k", 2, "r", "s"), (1, None, "k", 2, "r", "s")]
+    # Labelled findings of one's own decide.
+    own = spark.createDataFrame([(f"{i:04d}-{i * 7919 % 9973:04d}-ticket-number", "see ", " there", "", float(i % 2 == 0)) for i in range(10)] + [("".join(random.Random(i).choice("abcdef0123456789") for _ in range(40)), 'token = "', '"', "", 0.0) for i in range(40)], "c string, b string, a string, p string, label double")
+    assert not secrets_forest.scan(clash, labelled=own).where("is_secret").count() and secrets_forest.scan(clash).where("is_secret").count() == 1
+
+
 def test_licence_paragraphs(spark):
     wrapped = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software\nand associated documentation files"
-    texts = ["text\nReleased under the MIT License.", wrapped, "He lost his driver's license and the general public was free.", "Licensed under CC BY-NC 4.0.", None, ""]
-    rows = license_text.scan(docs_table(spark, texts)).where("confirmed").collect()
-    assert {(r["doc_id"], r["paragraph"], r["family"]) for r in rows} >= {(0, 1, "MIT"), (1, 0, "MIT"), (3, 0, "CC-BY-NC")}
-    assert not [r for r in rows if r["doc_id"] == 2]
+    texts = ["text\nReleased under the MIT License.", wrapped, "He lost his driver's license and the general public was free.", "Licensed under CC BY-NC 4.0.", None, "", "x\n// Licensed under the Boost Software License, Version 1.0.\ny", "# This work is licensed under a Creative Commons Attribution-\n# NonCommercial 4.0 International License."]
+    rows = license_text.scan(docs_table(spark, [*texts, texts[0]])).collect()
+    found = {(r["doc_id"], r["paragraph"], r["family"]) for r in rows if r["confirmed"]}
+    assert found == {(0, 1, "MIT"), (1, 0, "MIT"), (3, 0, "CC-BY-NC"), (7, 0, "CC-BY-NC"), (8, 1, "MIT")}
+    assert [(r["family"], r["n_lines"]) for r in rows if r["doc_id"] == 6] == [("unknown", 1)]
+    assert not [r for r in rows if r["doc_id"] == 2 and r["family"] != "unknown"]
     plan = license_text.scan(docs_table(spark, texts))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_wrapped_licences(spark):
+    """Notices wrapped at several widths, as comments and amid prose, are one paragraph each, of their family."""
+    import textwrap
+
+    cases = [(family, text, width, sign) for family, texts in license_text.TEMPLATES.items() for text in texts for width, sign in ((60, "# "), (72, ""), (30, " * "))]
+    table = docs_table(spark, ["Andinge the erson.\n" + "\n".join(sign + line for line in textwrap.wrap(text, width)) + "\nOf the ender was.\n\nNo more." for _, text, width, sign in cases])
+    rows = {(r["doc_id"], r["paragraph"]): r for r in license_text.scan(table).where("confirmed").collect()}
+    # A word broken at its hyphen or a pair with the next line may move the end by a line.
+    right = sum((i, 1) in rows and rows[i, 1]["family"] == family and abs(rows[i, 1]["n_lines"] - len(textwrap.wrap(text, width))) <= 1 for i, (family, text, width, _) in enumerate(cases))
+    assert right == len(cases) == len(rows)
+
+
+def test_licence_scores_by_force(spark):
+    """Words, margins, probabilities and shares are computed again from the model's coefficients."""
+    from pyspark.ml.feature import HashingTF
+
+    how = license_text.Licences()
+    model, temperature, known = license_text.trained(spark, how)
+    texts = [t for own in license_text.TEMPLATES.values() for t in own] + license_text.UNKNOWN_TEXTS + license_text.OTHER
+    rows = {r["doc_id"]: r for r in license_text.scan(docs_table(spark, texts), how).collect()}
+    hashing = HashingTF(numFeatures=how.features)
+    weights, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    told = 0
+    for i, text in enumerate(texts):
+        words = re.findall(license_text.TOKEN, text.lower())
+        pairs = license_text.pairs_of(text)
+        margin = bias + weights[:, sorted({hashing.indexOf(g) for g in words + pairs})].sum(1)
+        p = np.exp((margin - margin.max()) / temperature)
+        p /= p.sum()
+        if i not in rows:
+            continue
+        r, best = rows[i], list(license_text.TEMPLATES)[int(p[license_text.FIRST :].argmax())]
+        assert p[0] < 0.5 and abs(r["probability"] - p[license_text.FIRST :].max()) < 2e-6
+        assert r["family"] == (best if p[license_text.FIRST :].max() >= known else "unknown")
+        share = max(len(set(pairs) & set(license_text.pairs_of(t))) / max(1, min(len(set(pairs)), len(set(license_text.pairs_of(t))))) for t in license_text.TEMPLATES[best])
+        assert abs(r["share"] - share) < 2e-6 and r["confirmed"] == (r["family"] != "unknown" and share >= how.confirm)
+        told += 1
+    assert told >= sum(map(len, license_text.TEMPLATES.values()))
+
+
+def test_licences_of_odd_rows(spark):
+    assert license_text.scan(odd(spark)).count() == 0 and license_text.scan(odd(spark).limit(0)).count() == 0
+    clash = spark.createDataFrame([(None, "Released under the MIT License.", 1, "a", "b")], "id long, text string, paragraph int, marks string, lines string")
+    assert [(r["id"], r["family"]) for r in license_text.scan(clash, id_col="id").collect()] == [(None, "MIT")]
+    long = "ander " * 300_000 + "\nReleased under the MIT License.\n" + "erson " * 300_000
+    assert [r["family"] for r in license_text.scan(docs_table(spark, [long])).collect()] == ["MIT"]
+
+
 def test_pipeline(spark, corpus, tmp_path):
     import corpus_pipeline
 

@@ -6,12 +6,14 @@ from labelled findings judges length, character transitions, dictionary coverage
 trees are written as a column expression: a text is scanned in one pass with SQL functions, nothing is shuffled or sent
 to Python, and redaction joins the pieces again.
 
-The labelled findings come from rules with a fixed seed (their number is a parameter); each has the candidate, what
-stands around it, its path and whether it is a secret. Real labelled findings can be given instead.
+The labelled findings come from rules with a fixed seed (their number is a parameter), as the tables have none; each has
+the candidate, what stands around it, its path and whether it is a secret. A table of real labelled findings (``c`` the
+candidate, ``b`` and ``a`` the text before and after, ``p`` the path, ``label`` 0 or 1) can be given instead: ``labelled``.
 
 Defined results: null and empty texts have no findings and stay as they are; a null path is the empty one; rows without
-an id and repeated rows are scanned one by one; texts are scanned whole at any length; extra columns stay in ``redact``
-and are not read in ``scan``.
+an id and repeated rows are scanned one by one; a score that ties with the threshold is a secret; texts and candidates
+are scanned whole at any length; an empty table has no findings; extra columns stay in ``redact`` whatever their names,
+and are not read in ``scan``. Without any labelled finding there is no forest, which is an error.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import unclashed
+
 #: A name with a word of secrets, and what stands between it and its value.
 NAME = r"(?i:secret|token|passw|passphrase|pwd|api[ _-]?key|access[ _-]?key|auth|credential|private[ _-]?key)[A-Za-z0-9_-]{0,24}[\"'`\]]{0,2}\s{0,4}(?::=|=>|[=:])\s{0,4}(?:(?i:bearer|basic)\s{1,4})?[\"'`]?(?:(?i:bearer|basic)\s{1,4})?"
 #: Strings that may be secrets: keys in a block, values of such names at any length from 4 on, and long runs of key characters.
@@ -69,7 +73,7 @@ FEATURES = {
     "digit_transitions": "(regexp_count({c}, '[A-Za-z](?=[0-9])') + regexp_count({c}, '[0-9](?=[A-Za-z])')) / length({c})",
     "case_transitions": "(regexp_count({c}, '[a-z](?=[A-Z])') + regexp_count({c}, '[A-Z](?=[A-Z][a-z])')) / length({c})",
     "vowel_transitions": "regexp_count({c}, '(?i)[aeiou](?=[b-df-hj-np-tv-z])') / length({c})",
-    "distinct": "size(array_distinct(split(substring({c}, 1, 64), ''))) / least(length({c}), 64)",
+    "distinct": "least(1, size(array_distinct(split({c}, ''))) / least(length({c}), 64))",
     "beyond_hex": "cast(NOT {c} RLIKE '^[0-9a-fA-F-]+$' AS int)",
     "uuid": "cast({c} RLIKE '^[0-9a-fA-F]{{8}}-([0-9a-fA-F]{{4}}-){{3}}[0-9a-fA-F]{{12}}$' AS int)",
     "dictionary": f"1 - length(regexp_replace({{c}}, '(?i)({'|'.join(PARTS)})', '')) / length({{c}})",
@@ -157,6 +161,15 @@ def trained(spark: SparkSession, how: Forest) -> str:
     return forest_sql(fit(findings_table(spark, labelled_findings(how.findings, how.seed)), how))
 
 
+def vote_of(spark: SparkSession, how: Forest, labelled: DataFrame | None) -> str:
+    """The forest of the given findings (at most ``how.findings``, by a hash, so fitting is bounded) or of those by rule."""
+    if labelled is None:
+        return trained(spark, how)
+    some = labelled.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in "cbap"), F.col("label").cast("double").alias("label")).where("label in (0, 1) and c <> ''")
+    some = some.orderBy(F.xxhash64("c", "b", "a", "p", "label")).limit(how.findings).select("c", F.expr(f"right(b, {AROUND})").alias("b"), F.expr(f"left(a, {AROUND})").alias("a"), "p", "label")
+    return forest_sql(fit(some.select("label", F.expr(feature_sql("c", "b", "a", "p")).alias("f")).select("label", "f.*"), how))
+
+
 def fit(labelled: DataFrame, how: Forest):
     """A forest from ``label`` and feature columns."""
     from pyspark.ml.classification import RandomForestClassifier
@@ -179,40 +192,42 @@ def forest_sql(model) -> str:
     return f"({' + '.join(trees)}) / {len(trees)}"
 
 
-def pieces(docs: DataFrame, text_col: str, path_col: str | None, how: Forest, only_found: bool = False) -> DataFrame:
-    """Adds ``__rest``, the text between candidates, and ``__found``: an array of candidate, kind and score."""
-    vote = trained(docs.sparkSession, how)
-    path = f"coalesce(cast(`{path_col}` AS string), '')" if path_col else "''"
+def pieces(docs: DataFrame, text_col: str, path_col: str | None, how: Forest, labelled: DataFrame | None, only_found: bool = False) -> tuple[DataFrame, str, str]:
+    """The rows with two columns more, and their names: the text between candidates, and an array of candidate, kind and score."""
+    vote = vote_of(docs.sparkSession, how, labelled)
+    every, rest, values, got, path = unclashed(docs, "every", "rest", "values", "found", "path_of")
     cut = in_sql(CANDIDATE)
     kind = "CASE " + " ".join(f"WHEN v.c RLIKE '{in_sql(pattern)}' THEN '{name}'" for name, pattern in KINDS.items()) + " ELSE 'generic' END"
     if only_found:
         docs = docs.where(F.expr(f"`{text_col}` RLIKE '{cut}'"))
-    held = docs.withColumn("__all", F.expr(f"regexp_extract_all(`{text_col}`, '{cut}', 0)"))
-    held = held.withColumn("__rest", F.expr(f"if(size(__all) > 0, split(`{text_col}`, '{cut}', -1), cast(array() AS array<string>))"))
+    held = docs.withColumn(path, F.expr(f"coalesce(cast(`{path_col}` AS string), '')" if path_col else "''")).withColumn(every, F.expr(f"regexp_extract_all(`{text_col}`, '{cut}', 0)"))
+    held = held.withColumn(rest, F.expr(f"if(size({every}) > 0, split(`{text_col}`, '{cut}', -1), cast(array() AS array<string>))"))
     features = feature_sql("x.c", "x.b", "x.a", path)
     # Each array is made from whole arrays: nothing inside a lambda function is worth more than its element.
-    ends = f"zip_with(slice(__rest, 1, size(__all)), slice(__rest, 2, size(__all)), (b, a) -> named_struct('b', right(b, {AROUND}), 'a', left(a, {AROUND})))"
-    around = f"zip_with(__all, {ends}, (c, e) -> named_struct('c', c, 'b', e.b, 'a', e.a, 'before', regexp_extract(c, '{in_sql(BEFORE)}', 0)))"
+    ends = f"zip_with(slice({rest}, 1, size({every})), slice({rest}, 2, size({every})), (b, a) -> named_struct('b', right(b, {AROUND}), 'a', left(a, {AROUND})))"
+    around = f"zip_with({every}, {ends}, (c, e) -> named_struct('c', c, 'b', e.b, 'a', e.a, 'before', regexp_extract(c, '{in_sql(BEFORE)}', 0)))"
     # The value alone is the candidate: its name and the signs after it stand around it.
     value = f"transform({around}, x -> named_struct('c', substring(x.c, length(x.before) + 1), 'b', x.b, 'a', x.a, 'before', x.before, 'after', if(x.before RLIKE '[\"\\'`]', '', regexp_extract(substring(x.c, length(x.before) + 1), '{in_sql(AFTER)}', 0))))"
     value = f"transform({value}, x -> named_struct('c', left(x.c, length(x.c) - length(x.after)), 'b', right(concat(x.b, x.before), {AROUND}), 'a', left(concat(x.after, x.a), {AROUND}), 'before', x.before, 'after', x.after))"
-    held = held.withColumn("__value", F.expr(f"if(size(__all) > 0, {value}, cast(array() AS array<struct<c: string, b: string, a: string, before: string, after: string>>))"))
-    found = f"zip_with(__value, transform(transform(__value, x -> {features}), f -> {vote}), (v, s) -> named_struct('candidate', v.c, 'kind', {kind}, 'score', s, 'before', v.before, 'after', v.after))"
-    return held.withColumn("__found", F.expr(f"if(size(__all) > 0, {found}, cast(array() AS array<struct<candidate: string, kind: string, score: double, before: string, after: string>>))")).drop("__all", "__value")
+    held = held.withColumn(values, F.expr(f"if(size({every}) > 0, {value}, cast(array() AS array<struct<c: string, b: string, a: string, before: string, after: string>>))"))
+    found = f"zip_with({values}, transform(transform({values}, x -> {features}), f -> {vote}), (v, s) -> named_struct('candidate', v.c, 'kind', {kind}, 'score', s, 'before', v.before, 'after', v.after))"
+    return held.withColumn(got, F.expr(f"if(size({every}) > 0, {found}, cast(array() AS array<struct<candidate: string, kind: string, score: double, before: string, after: string>>))")).drop(every, values, path), rest, got
 
 
-def scan(docs: DataFrame, how: Forest | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
+def scan(docs: DataFrame, how: Forest | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, labelled: DataFrame | None = None) -> DataFrame:
     """A row for each candidate: ``id, n`` (which one of the text), ``kind, length, sha256, score, is_secret``."""
     how = how or Forest()
     columns = [f"`{c}`" for c in dict.fromkeys([id_col, text_col, *([path_col] if path_col else [])])]
-    found = pieces(docs.select(*columns), text_col, path_col, how, only_found=True).select(f"`{id_col}`", F.posexplode("__found").alias("n", "x"))
-    return found.select(id_col, "n", "x.kind", F.length("x.candidate").cast("bigint").alias("length"), F.sha2("x.candidate", 256).alias("sha256"), F.round("x.score", 6).alias("score"), (F.col("x.score") >= how.threshold).alias("is_secret"))
+    held, _, got = pieces(docs.select(*columns), text_col, path_col, how, labelled, only_found=True)
+    found = held.select(F.col(f"`{id_col}`").alias("id"), F.posexplode(got).alias("n", "x"))
+    return found.select(F.col("id").alias(id_col), "n", "x.kind", F.length("x.candidate").cast("bigint").alias("length"), F.sha2("x.candidate", 256).alias("sha256"), F.round("x.score", 6).alias("score"), (F.col("x.score") >= how.threshold).alias("is_secret"))
 
 
-def redact(docs: DataFrame, how: Forest | None = None, text_col: str = "text", path_col: str | None = None, sign: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, how: Forest | None = None, text_col: str = "text", path_col: str | None = None, sign: str = "[SECRET]", labelled: DataFrame | None = None) -> DataFrame:
     """The documents, all columns, with ``sign`` in place of each secret."""
     how = how or Forest()
-    held = pieces(docs, text_col, path_col, how)
-    held = held.withColumn("__signs", F.expr(f"transform(__found, x -> if(x.score >= {how.threshold}D, concat(x.before, '{sign}', x.after), concat(x.before, x.candidate, x.after)))"))
-    clean = "if(size(__signs) > 0, array_join(zip_with(__rest, __signs, (r, c) -> concat(r, coalesce(c, ''))), ''), {text})".format(text=f"`{text_col}`")
-    return held.withColumn(text_col, F.expr(clean)).drop("__rest", "__found", "__signs")
+    held, rest, got = pieces(docs, text_col, path_col, how, labelled)
+    (signs,) = unclashed(held, "signs")
+    held = held.withColumn(signs, F.expr(f"transform({got}, x -> if(x.score >= {how.threshold}D, concat(x.before, '{in_sql(sign)}', x.after), concat(x.before, x.candidate, x.after)))"))
+    clean = f"if(size({signs}) > 0, array_join(zip_with({rest}, {signs}, (r, c) -> concat(r, coalesce(c, ''))), ''), `{text_col}`)"
+    return held.withColumn(text_col, F.expr(clean)).drop(rest, got, signs)
