@@ -6,6 +6,7 @@ import itertools
 import json
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -259,6 +260,16 @@ def test_flat_graph_beyond_a_shard(spark, monkeypatch, groups, noise, block):
     assert [got[i]["component_id"] for i in range(400)] == tips.tolist()
 
 
+def test_flat_graph_of_odd_rows(spark):
+    schema = "vec_id long, embedding array<double>, label int, node string, shard string"
+    rows = [(5, [1.0, 0.0, 0.1], 1), (5, [1.0, 0.0, -0.05], 1), (7, [1.0, 0.0, 0.02], 1), (3, [0.0, 1.0, 0.0], 1), (5, [0.0, 1.0, 0.01], 1), (9, [2.0, 0.0, 0.04], 1), (9, [2.0, 0.0, 0.04], 1), (None, [1.0, 0.0, 0.0], 1), (4, [None, 1.0], 1), (2, [1.0, 0.0, 0.0], 2)]
+    table = spark.createDataFrame([(*r, "x", "y") for r in rows], schema)
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in flat_graph.near_duplicates(table).collect())
+    # The three vectors of id 5 are one node: 3, 5, 7 and 9 are a component, the vectors near (1, 0, 0) link with each other.
+    assert got == [(0, 0, 0, True), (2, 0, 2, True), (3, 1, 3, True), (4, 0, 4, True), (5, 1, 3, False), (5, 3, 3, False), (5, 3, 3, False), (7, 3, 3, False), (9, 3, 3, False), (9, 3, 3, False)]
+    assert flat_graph.near_duplicates(table.limit(0)).count() == 0
+
+
 def test_warc(spark):
     pages = spark.createDataFrame([(3, "http://www.b.example/x?q=1", "same\r\n\r\nbody"), (1, "http://a.b.example/", "same\r\n\r\nbody"), (2, None, None), (None, "http://c.example", ""), (4, "http://a b.example/\n", "é"), (4, "http://a b.example/\n", "é")], "page_id long, url string, html string")
     rows = warc.histories(pages).collect()
@@ -327,9 +338,18 @@ def test_bpe(spark, corpus):
         (ids, spans), plain = coder.encode_with_offsets([text])[0], coder.encode([text])[0]
         assert ids == plain and spans[0][0] == 0 and spans[-1][1] == len(text)
         assert "".join(coder.decode_stream(ids)) == text == coder.decode(ids)
+    # Each code point beside others, and another pattern.
+    points = [f"a{chr(c)} {chr(c)}{chr(c)} 1 {chr(c)}" for c in [*range(0x500), *range(0x1FFF, 0x2070), *range(0x3000, 0x3010), 0x85, 0xFEFF, 0x1F600]]
+    assert coder.encode(points) == [known.encode_ordinary(t) for t in points]
+    own = r"\s*\p{L}{1,4}|\s*[^\s\p{L}]+|\s+"
+    other = tiktoken.Encoding("own", pat_str=own, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    assert bpe.byte_bpe(path, own).encode(texts[:40]) == [other.encode_ordinary(t or "") for t in texts[:40]]
+    long = "日本 wörter " * 200_000
+    assert coder.encode([long]) == [known.encode_ordinary(long)]
     table = bpe.encode(docs_table(spark, texts), path, P.PATTERN, offsets=True)
     assert {r["doc_id"]: bytes(r["content"]).decode() for r in bpe.decode(table, path, P.PATTERN).collect()} == {i: t or "" for i, t in enumerate(texts)}
-    assert bpe.round_trip(odd(spark), path, P.PATTERN).count() == 5
+    assert bpe.round_trip(odd(spark), path, P.PATTERN).count() == 5 and bpe.round_trip(odd(spark).limit(0), path, P.PATTERN).count() == 0
+    assert bpe.encode(odd(spark).limit(0), path, P.PATTERN).count() == 0
 
 
 def test_neighbour_votes(spark):
@@ -378,6 +398,34 @@ def test_secret_values_apart_from_names(spark):
     assert found >= 0.9 * len(held)
 
 
+def test_neighbour_votes_by_force(spark):
+    """Cosines, neighbours with ties by id, and votes, one text at a time in plain loops."""
+    rnd = random.Random(18)
+    vocabulary = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 6))) for _ in range(80)]
+    texts = [" ".join(rnd.choice(vocabulary) + rnd.choice(["", "", "#", "&&"]) for _ in range(rnd.randint(5, 60))) for _ in range(120)]
+    texts += [*texts[:30], *texts[:30], "", None, "日本 語", "word " * 100_000]  # copies with labels of their own: ties
+    docs = docs_table(spark, texts)
+    labels = spark.createDataFrame([(i, rnd.randint(0, 1), 0) for i in range(180)] + [(3, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    how = quality_knn.Voting(neighbours=4, width=12, features=256)
+    space = quality_knn.fit(docs, labels, how)
+    assert len(space.labels) == len({i for i in range(180) if zlib.crc32(str(i).encode()) % 5})
+    got = {r["doc_id"]: r for r in quality_knn.score(docs, space).collect()}
+    latent = space.latent(texts, quality_knn.Terms(how.features)).astype(np.float64)
+    for i in range(len(texts)):
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and got[i]["predicted"] == int(got[i]["score"] >= 0.3)
+        if not latent[i].any():
+            assert got[i]["score"] == space.prior
+            continue
+        cosines = [round(float(np.dot(latent[i] / np.linalg.norm(latent[i]), v.astype(np.float64))), 6) for v in space.vectors]
+        order = sorted(range(len(cosines)), key=lambda j: (-cosines[j], j))
+        kth = cosines[order[how.neighbours - 1]]
+        near_tie = [c for c in cosines if 0 < abs(c - kth) < 5e-6]  # single against double precision may part these
+        weights = [max(cosines[j], 1e-6) ** how.sharpness for j in order[: how.neighbours]]
+        score = sum(w * space.labels[j] for w, j in zip(weights, order)) / sum(weights)
+        assert abs(got[i]["score"] - score) < 1e-4 or near_tie
+    assert quality_knn.classify(docs.limit(0), labels).count() == 0
+
+
 def secrets_by_force(text, path):
     """Candidates of a text with their features, in plain Python."""
     out, at, pieces, found = [], 0, [], []

@@ -1,11 +1,13 @@
 """Byte-level BPE encoding and decoding with the ``tokenizers`` library over Arrow batches.
 
-The vocabulary comes as ranks (base64 token, rank). Bytes are written as printable characters, one for one, so
-the library's string model works on bytes; decoding reads that table backwards and joins bytes, so characters
-that tokens split come back whole.
-
-Defined results: a null text is the empty text; the empty text has no tokens; repeated rows are encoded one by
-one; texts of any length are encoded whole; other columns are not read.
+The vocabulary comes as ranks (base64 token, rank). The library's byte-level step cuts a text by the pattern and writes
+bytes as printable characters, one for one; its model merges them and its encodings tell the offsets in code points. What
+it returned for a part of a text between single spaces is kept, in a bounded memory, and not asked for again. Decoding
+reads the tokens' characters back through the byte table and joins bytes, so characters that tokens split come back whole.
+
+Defined results: a null text is the empty text; the empty text has no tokens; of equal ranks there is none, so no ties;
+repeated rows and rows without an id are encoded one by one; texts of any length are encoded whole; an empty table gives an
+empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 import os
 import re
 
@@ -36,16 +39,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class ByteBpe:
-    """Encoder and decoder of one rank file.
-
-    The library merges bytes; the texts are cut here, as its own cutting is slower than everything else together.
-    What was cut before comes from a bounded memory of pieces.
-    """
+    """Encoder and decoder of one rank file."""
 
     def __init__(self, path: str, pattern: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
-        import regex
-        from tokenizers import models
+        from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
         ranks = read_ranks(path)
         chars = byte_characters()
@@ -57,65 +55,39 @@ class ByteBpe:
             for i in range(1, len(token))
             if token[:i] in ranks and token[i:] in ranks
         ]
-        self.model = models.BPE(vocab={written[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True, cache_capacity=0)
-        self.pieces = regex.compile(pattern)
-        self.written = dict(enumerate(chars))
-        self.bytes_of = {r: t for t, r in ranks.items()}
-        self.text_of = {r: str(r) for r in self.bytes_of}
+        self.tokenizer = Tokenizer(models.BPE(vocab={written[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
+        bytewise = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=pattern == BUILT_IN)
+        self.tokenizer.pre_tokenizer = bytewise if pattern == BUILT_IN else pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), bytewise])
+        self.parted = pattern == BUILT_IN
+        table = {char: byte for byte, char in enumerate(chars)}
+        self.bytes_of = {i: bytes(map(table.__getitem__, token)) for token, i in self.tokenizer.get_vocab().items()}
+        self.text_of = {i: str(i) for i in self.bytes_of}
         self.fresh: dict[str, list[int]] = {}
         self.older: dict[str, list[int]] = {}
 
-    def remember(self, text: str, ids: list[int]) -> list[int]:
-        if len(self.fresh) >= REMEMBERED:
-            self.older, self.fresh = self.fresh, {}
-        self.fresh[text] = ids
-        return ids
-
-    def merged(self, piece: str) -> list:
-        """The library's tokens of one piece, whose bytes are written as characters."""
-        return self.model.tokenize(piece.encode().decode("latin-1").translate(self.written))
-
-    def cut(self, text: str) -> list[int]:
-        """Ids of a text that is cut by the pattern."""
-        out: list[int] = []
-        for piece in self.pieces.findall(text):
-            ids = self.fresh.get(piece) or self.older.get(piece)
-            out += ids or self.remember(piece, [token.id for token in self.merged(piece)])
-        return out
-
-    def encode_one(self, text: str) -> list[int]:
-        # A piece of the pattern begins at each single space between others, so such parts can be encoded apart.
-        if SPACE_RUN.search(text) or not BLANK_CUTS.fullmatch(self.pieces.pattern):
-            return self.cut(text)
+    def parts(self, text: str) -> list[str]:
+        """A piece of the built-in pattern begins at each single space between others, so such parts can be encoded apart."""
+        if not self.parted or SPACE_RUN.search(text):
+            return [text]
         first, *rest = text.split(" ")
-        out = self.cut(first)
-        fresh, older = self.fresh, self.older
-        for word in rest:
-            part = " " + word
-            ids = fresh.get(part) or older.get(part)
-            if ids is None:
-                ids = self.remember(part, self.cut(part))
-                fresh, older = self.fresh, self.older
-            out += ids
-        return out
+        return [first, *(" " + word for word in rest)]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [self.encode_one(text) for text in texts]
+        parts = [self.parts(text) for text in texts]
+        known = {}
+        for part in {p for own in parts for p in own}:
+            known[part] = self.fresh.get(part) or self.older.get(part)
+        unknown = [part for part, ids in known.items() if ids is None]
+        for part, found in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
+            known[part] = found.ids
+        if len(self.fresh) > REMEMBERED:
+            self.older, self.fresh = self.fresh, {}
+        self.fresh.update((part, known[part]) for part in unknown if len(part) <= LONGEST)
+        return [list(itertools.chain.from_iterable(map(known.__getitem__, own))) for own in parts]
 
     def encode_with_offsets(self, texts: list[str]) -> list[tuple[list[int], list[tuple[int, int]]]]:
         """Ids and, for each, the code points [start, end) that its bytes belong to; split characters overlap."""
-        out = []
-        for text in texts:
-            ids, spans = [], []
-            for match in self.pieces.finditer(text):
-                owner = [match.start() + i for i, char in enumerate(match[0]) for _ in char.encode()]
-                at = 0
-                for token in self.merged(match[0]):
-                    at += len(token.value)  # in written characters, so in bytes
-                    ids.append(token.id)
-                    spans.append((owner[at - len(token.value)], owner[at - 1] + 1))
-            out.append((ids, spans))
-        return out
+        return [(found.ids, found.offsets) for found in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -132,12 +104,13 @@ class ByteBpe:
         return [reader.decode(self.bytes_of[i]) for i in ids]
 
 
-#: Pieces of text remembered with their ids, twice: those lately met and those before.
+#: Parts of texts remembered with their ids, twice: those lately met and those before; longer ones aren't.
 REMEMBERED = 250_000
+LONGEST = 200
 #: White space before a space, or a space at the end: there, pieces depend on what stands on both sides of a space.
 SPACE_RUN = re.compile(r"\s |\x1c|\x1d|\x1e|\x1f| \Z")
-#: Patterns of which it is known that a single space between others begins a piece.
-BLANK_CUTS = re.compile(re.escape(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""))
+#: Fixed value: the pattern that the library's byte-level step has built in.
+BUILT_IN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 @functools.lru_cache(4)
@@ -176,8 +149,8 @@ def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id", i
     return map_batches(frame, run, f"id {kind}, content binary").withColumnRenamed("id", id_col)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Digests of encoding every text and of decoding the ids again: doc_id, n_tokens, ids_sha256, decoded_sha256, exact.
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Digests of encoding every text and of decoding the ids again: id, n_tokens, ids_sha256, decoded_sha256, exact.
 
     ``exact`` says that the decoded bytes equal the text's. Encoding and decoding run on one batch, so ids never
     leave the task.
@@ -185,7 +158,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(rows: dict) -> dict:
         coder = byte_bpe(path, pattern)
-        out: dict[str, list] = {"doc_id": rows["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "exact": []}
+        out: dict[str, list] = {"id": rows["id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "exact": []}
         texts = [t or "" for t in rows["text"]]
         for i in range(0, len(texts), AT_ONCE):
             for text, ids in zip(texts[i : i + AT_ONCE], coder.encode(texts[i : i + AT_ONCE]), strict=True):
@@ -196,4 +169,6 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 out["exact"].append(content == text.encode())
         return out
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, exact boolean")
+    kind = docs.schema[id_col].dataType.simpleString()
+    frame = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    return map_batches(frame, run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, exact boolean").withColumnRenamed("id", id_col)

@@ -18,7 +18,9 @@ Missed links: those that a search misses and the sampled audit doesn't see; `tes
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, vectors with a null label
 and rows without an id link with nothing (n_links 0, component their own id, kept); repeated rows of an id are one
-vector; vectors of different widths don't link; only id, label and vector are read.
+vector; different vectors under one id (or under several labels) are vectors of their own in ``n_links``, each row with its own count, and
+one node in components; vectors of different widths don't link; a cosine of exactly the limit links; an empty table gives an
+empty one; vectors of any width are whole in one task; only id, label and vector are read.
 """
 
 from __future__ import annotations
@@ -351,16 +353,23 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
     """``id, n_links, component_id, kept`` for every row."""
     base = materialize(prepared(vectors, id_col, vec_col, label_col), "vectors")
     usable = base.where("id is not null and key is not null")
-    classes = materialize(usable.groupBy("label", "key", "id").agg(F.first("width").alias("width"), F.first("vec").alias("vec")).groupBy("label", "key").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("width").alias("width"), F.first("vec").alias("vec")), "classes")
+    own = usable.groupBy("label", "key", "id").agg(F.first("width").alias("width"), F.first("vec").alias("vec"))
+    grouped = own.groupBy("label", "key").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("width").alias("width"), F.first("vec").alias("vec"))
+    classes = materialize(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
     every = dealt(classes, least)
     shards, dense = every.where("size IS NULL"), every.where("size IS NOT NULL")
     graph = materialize(build(shards).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
     met = materialize(search(shards, graph, least).unionByName(compare(dense, least)), "links")
-    roots = components(met.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    # Vectors under one id are one node of the components.
+    several = usable.groupBy("id").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.min("label").alias("one"), F.max("label").alias("other")).where("low <> high OR one <> other").select("id")
+    nodes = usable.join(several, "id").select("id", "label", "key").distinct().join(classes.select("label", "key", "node"), ["label", "key"]).select("id", "node")
+    same = nodes.join(nodes.groupBy("id").agg(F.min("node").alias("b")), "id").select(F.col("node").alias("a"), "b")
+    roots = components(met.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(same))
+    placed = classes.select("label", "key", "node", "copies", "least").join(roots, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    smallest = placed.groupBy("root").agg(F.min("least").alias("smallest"))
     links = met.groupBy("node").agg(F.sum("links").alias("links"), F.min("recall").alias("audited_recall"))
-    by_class = classes.join(links, "node").join(roots, "node", "left").select("label", "key", (F.col("copies") - 1 + F.col("links")).alias("n_links"), F.coalesce("component", "node").alias("component"), "audited_recall")
-    for done in (every, graph):
-        discard(done)
+    by_class = materialize(placed.join(smallest, "root").join(links, "node").select("label", "key", (F.col("copies") - 1 + F.col("links")).alias("n_links"), F.col("smallest").alias("component"), "audited_recall"), "placed")
+    discard(every, graph, classes, met)
     return (
         base.select("id", "label", F.when(F.col("id").isNotNull(), F.col("key")).alias("key"))
         .join(by_class, ["label", "key"], "left")

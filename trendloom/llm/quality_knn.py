@@ -6,12 +6,14 @@ by ``Voting.examples`` and their width by ``Voting.width``, so their size is too
 is computed exactly, a block of texts at a time, and the labels of the nearest vote, weighted by similarity.
 
 The fit runs on the driver over the bounded sample of labelled texts (the smallest by a hash of the id, within each
-label), whose texts are counted whole. Only id and text are read; labels only for the sample. A label counts for a
-text once.
+label). Their terms are counted on the executors, over whole texts, and only the counts come to the driver: at most
+``Voting.features`` for each. Only id and text are read; labels only for the sample. A label counts for a text once.
 
 Defined results: null and empty texts have no terms and get the share of good labels among all examples, as does any
-text with no known term; rows without an id are scored and are never examples; repeated rows are scored one by one;
-without any labels every score is 0.5.
+text with no known term; of neighbours with equal similarity (to six digits) the examples with smaller ids vote; a
+score that ties with the threshold is predicted 1; rows without an id are scored and are never examples; repeated
+rows are scored one by one; an example with several texts has the smallest; texts are counted whole at any length; without
+any labels every score is 0.5; an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -89,17 +91,20 @@ def counted(texts: list[str | None], features: int, known: Terms) -> tuple[np.nd
 class Space:
     """Term weights and latent axes of the examples, with their vectors and labels."""
 
-    def __init__(self, texts: list[str | None], labels: list[int], how: Voting):
+    def __init__(self, terms: list[tuple[list[int], list[float]]], labels: list[int], how: Voting):
+        """``terms``: columns and weights of each example, in the order of ids."""
         self.how, self.labels = how, np.array(labels, dtype=np.float64)
         self.total = how.features + 8
-        rows, columns, weights = counted(texts, how.features, Terms(how.features))
-        n = max(1, len(texts))
+        rows = np.repeat(np.arange(len(terms)), [len(t[0]) for t in terms])
+        columns = np.array([c for t in terms for c in t[0]], dtype=np.int64)
+        weights = np.array([w for t in terms for w in t[1]], dtype=np.float64)
+        n = max(1, len(terms))
         seen = np.bincount(columns, minlength=self.total) if len(columns) else np.zeros(self.total)
         self.idf = np.where(seen > 0, np.log((1 + n) / (1 + seen)) + 0.2, 0.0)
-        matrix = np.zeros((len(texts), self.total), dtype=np.float32)
+        matrix = np.zeros((len(terms), self.total), dtype=np.float32)
         matrix[rows, columns] = weights * self.idf[columns]
         self.axes = np.zeros((self.total, 1), dtype=np.float32)
-        if len(texts):
+        if len(terms):
             # Randomised decomposition: a few passes over the matrix give its leading right singular vectors.
             draw = np.random.default_rng(how.seed)
             width = min(how.width, *matrix.shape)
@@ -111,21 +116,30 @@ class Space:
         self.vectors = unit(matrix @ self.axes)
         self.prior = float(self.labels.mean()) if len(self.labels) else 0.5
 
-    def scores(self, texts: list[str | None], known: Terms) -> list[float]:
-        """Weighted shares of good labels among the nearest examples, for one block of texts."""
+    def latent(self, texts: list[str | None], known: Terms) -> np.ndarray:
         rows, columns, weights = counted(texts, self.how.features, known)
         latent = np.zeros((len(texts), self.axes.shape[1]), dtype=np.float32)
         cuts = np.searchsorted(rows, np.arange(len(texts) + 1))
         for i in range(len(texts)):
             part = slice(cuts[i], cuts[i + 1])
             latent[i] = (weights[part] * self.idf[columns[part]]).astype(np.float32) @ self.axes[columns[part]]
+        return latent
+
+    def scores(self, texts: list[str | None], known: Terms) -> list[float]:
+        """Weighted shares of good labels among the nearest examples, for one block of texts."""
+        latent = self.latent(texts, known)
         found = np.full(len(texts), self.prior)
         some = latent.any(axis=1)
         if not some.any() or not len(self.labels):
             return found.tolist()
-        near = unit(latent[some]) @ self.vectors.T
+        near = np.round(unit(latent[some]) @ self.vectors.T, 6)
         k = min(self.how.neighbours, near.shape[1])
-        best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        # All above the k-th similarity, and of those that have it the first.
+        last = np.partition(near, -k, axis=1)[:, [-k]]
+        ties = near == last
+        chosen = near > last
+        chosen |= ties & (np.cumsum(ties, axis=1) <= k - chosen.sum(1, keepdims=True))
+        best = np.nonzero(chosen)[1].reshape(-1, k)
         votes = np.maximum(np.take_along_axis(near, best, axis=1), 1e-6).astype(np.float64) ** self.how.sharpness
         found[some] = (votes * self.labels[best]).sum(1) / votes.sum(1)
         return np.clip(found, 0, 1).tolist()
@@ -146,8 +160,16 @@ def fit(docs: DataFrame, labels: DataFrame, how: Voting, id_col: str = "doc_id",
     # At most half the examples from each label, by a hash of the id: top-k per label, then only these texts are read.
     chosen = [marked.where(F.col("label") == v).orderBy(F.xxhash64("id"), "id").limit(half) for v in (0, 1)]
     picked = chosen[0].unionByName(chosen[1])
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(picked), "id").groupBy("id").agg(F.min("label").alias("label"), F.min("text").alias("text")).orderBy("id").collect()
-    return Space([r["text"] for r in rows], [r["label"] for r in rows], how)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(picked), "id").groupBy("id").agg(F.min("label").alias("label"), F.min("text").alias("text"))
+
+    def run(batch: dict) -> dict:
+        known = Terms(how.features)
+        found = [counted([t], how.features, known)[1:] for t in batch["text"]]
+        return {"id": batch["id"], "label": batch["label"], "columns": [c for c, _ in found], "weights": [w for _, w in found]}
+
+    kind = rows.schema["id"].dataType.simpleString()
+    made = sorted(map_batches(rows.select("id", "label", "text"), run, f"id {kind}, label int, columns array<int>, weights array<double>").collect(), key=lambda r: r["id"])
+    return Space([(r["columns"], r["weights"]) for r in made], [r["label"] for r in made], how)
 
 
 BLOCK = 512  #: texts whose cosines are computed at once
