@@ -65,25 +65,24 @@ class ByteBpe:
         self.fresh: dict[str, list[int]] = {}
         self.older: dict[str, list[int]] = {}
 
-    def parts(self, text: str) -> list[str]:
-        """A piece of the built-in pattern begins at each single space between others, so such parts can be encoded apart."""
-        if not self.parted or SPACE_RUN.search(text):
-            return [text]
-        first, *rest = text.split(" ")
-        return [first, *(" " + word for word in rest)]
-
     def encode(self, texts: list[str]) -> list[list[int]]:
-        parts = [self.parts(text) for text in texts]
-        known = {}
-        for part in {p for own in parts for p in own}:
-            known[part] = self.fresh.get(part) or self.older.get(part)
-        unknown = [part for part, ids in known.items() if ids is None]
-        for part, found in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
-            known[part] = found.ids
-        if len(self.fresh) > REMEMBERED:
-            self.older, self.fresh = self.fresh, {}
-        self.fresh.update((part, known[part]) for part in unknown if len(part) <= LONGEST)
-        return [list(itertools.chain.from_iterable(map(known.__getitem__, own))) for own in parts]
+        # A piece of the built-in pattern begins at each single space between others, so such parts can be encoded apart.
+        cut = [self.parted and not SPACE_RUN.search(text) for text in texts]
+        parts = [text.replace(" ", "\0 ").split("\0") for text, apart in zip(texts, cut, strict=True) if apart]
+        unknown = set().union(*parts) - self.fresh.keys()
+        found = {part: self.older[part] for part in unknown if part in self.older}
+        rest = [part for part in unknown if part not in found]
+        # One call for all: a call costs more than many parts.
+        whole = [text for text, apart in zip(texts, cut, strict=True) if not apart]
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(rest + whole, add_special_tokens=False)] if rest or whole else []
+        known = self.fresh
+        known.update(found)
+        known.update(zip(rest, got))
+        of_parts, of_whole = iter(parts), iter(got[len(rest) :])
+        out = [list(itertools.chain.from_iterable(map(known.__getitem__, next(of_parts)))) if apart else next(of_whole) for apart in cut]
+        if len(known) > REMEMBERED:
+            self.older, self.fresh = known, {}
+        return out
 
     def encode_with_offsets(self, texts: list[str]) -> list[tuple[list[int], list[tuple[int, int]]]]:
         """Ids and, for each, the code points [start, end) that its bytes belong to; split characters overlap."""
@@ -104,11 +103,11 @@ class ByteBpe:
         return [reader.decode(self.bytes_of[i]) for i in ids]
 
 
-#: Parts of texts remembered with their ids, twice: those lately met and those before; longer ones aren't.
+#: Parts of texts remembered with their ids, twice: those lately met and those before.
 REMEMBERED = 250_000
-LONGEST = 200
-#: White space before a space, or a space at the end: there, pieces depend on what stands on both sides of a space.
-SPACE_RUN = re.compile(r"\s |\x1c|\x1d|\x1e|\x1f| \Z")
+#: White space before a space, or a space at the end: there, pieces depend on what stands on both sides of a space. And
+#: runs so long that they shouldn't be remembered.
+SPACE_RUN = re.compile(r"\s |\x1c|\x1d|\x1e|\x1f|\0| \Z|[^ ]{500}")
 #: Fixed value: the pattern that the library's byte-level step has built in.
 BUILT_IN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -119,7 +118,7 @@ def byte_bpe(path: str, pattern: str) -> ByteBpe:
 
 
 #: Texts that go to the library at once; the rest of an Arrow batch waits.
-AT_ONCE = 256
+AT_ONCE = 1024
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
