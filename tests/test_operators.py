@@ -87,7 +87,7 @@ def test_vectors(spark):
     [("I bought a Zorbo last week.", {"Zorbo"}), ("We switched from Acme to Blue River because of the price.", {"Acme", "Blue River"}), ("Acme vs Zorbo, which one is better?", {"Acme", "Zorbo"}), ("i bought some shoes yesterday.", set()), ("The weather is nice today.", set())],
 )
 def test_sentence_brands(spark, sentence, shown):
-    lexicon = extraction.Lexicon(BRANDS, frozenset({"shoes", "shoe"}), frozenset({"the"}))
+    lexicon = extraction.Lexicon(BRANDS, frozenset({"shoes", "shoe"}))
     posts = spark.createDataFrame([(1, sentence)], "id long, text string")
     got = extraction.sentence_brands(posts, "id", "text", lexicon).where("decision = 'display_brand'").collect()
     assert {r["brand"] for r in got} == shown
@@ -115,3 +115,40 @@ def test_brand_ranking_has_a_total_order(spark):
     rows = spark.createDataFrame([("c", b, True, 0.5) for b in "bbbaaacc"], "category string, brand string, is_cur boolean, sentiment double")
     got = brands.top_brands(brands.brand_table(rows)).orderBy("brand_rank").collect()
     assert [r["brand"] for r in got] == ["a", "b"]
+
+
+def test_extraction_rules():
+    """Slots, weights and decisions of single sentences, by hand."""
+    lexicon = extraction.Lexicon({"acme": "Acme", "blue river": "Blue River", "desk": "Desk"}, frozenset({"desk", "hair dryer"}))
+    one = lambda sentence, labels: {r[0]: r[1:] for r in extraction.extract_sentence(sentence, labels, lexicon)}
+    assert extraction.slots_of("I switched from Acme to the Blue River because it broke") == {"Acme": "comparison", "Blue River": "comparison"}
+    # 0.30 for the purchase, 0.10 for a second place, 0.60 for the name: at most 1.
+    assert one("I bought an Acme hair dryer", ["purchase"])["Acme"] == ("display_brand", 1.0, ["exact_whitelist", "multi_context", "purchase"])
+    # A category word is a brand only in a relation.
+    assert one("My Desk is here", ["ownership"]) == {}
+    assert one("I bought a Desk", ["purchase"])["Desk"][0] == "display_brand"
+    # An unknown name near a category term: 0.30 and 0.35; without it 0.30 is too little.
+    near = one("I bought the Zorbo hair dryer", ["purchase"])["Zorbo"]
+    assert near[0] == "display_brand" and "near_cat" in near[2] and near[1] == 0.75
+    assert one("I bought the Zorbo", ["purchase"]) == {}
+    assert extraction.weighed(["purchase", "purchase", "exact_category"]) == 0.0
+
+
+def test_streams_survive_a_replay(spark, tmp_path):
+    """A batch that runs again replaces what it had written."""
+    from trendloom.streaming import collected, first_only
+
+    source, out = tmp_path / "in", f"file://{tmp_path}/out"
+    rows = [(str(i % 7), f"2024-01-0{1 + i % 3} 00:00:00") for i in range(30)]
+    spark.createDataFrame(rows, "k string, t string").selectExpr("k", "cast(t AS timestamp) AS published_at").write.parquet(f"file://{source}")
+    stream = lambda: spark.readStream.schema("k string, published_at timestamp").parquet(f"file://{source}")
+    first = collected(first_only(stream(), "k"), f"file://{tmp_path}/state", out)
+    assert sorted(r["k"] for r in first.collect()) == [str(i) for i in range(7)]
+    again = collected(first_only(stream(), "k"), f"file://{tmp_path}/other_state", out)  # the state is lost, the batch comes again
+    assert again.count() == 7
+
+
+def test_spread_counts_a_post_once(spark):
+    posts = spark.createDataFrame([(1, "a b a", "x"), (2, "a", "y"), (3, "a c", "x"), (4, None, "x"), (5, "c", None)], "k long, text string, community string")
+    got = {r["token"]: (r["posts"], r["communities"]) for r in extraction.candidate_spread(posts, "k", "text", "community").collect()}
+    assert got == {"a": (3, 2), "b": (1, 1), "c": (2, 1)}

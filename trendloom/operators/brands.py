@@ -30,7 +30,7 @@ def top_brands(table: DataFrame, k: int = 30) -> DataFrame:
     return table.withColumn("brand_rank", F.row_number().over(order)).where(F.col("brand_rank") <= k)
 
 
-def cluster_trend(facts: DataFrame, least_posts: int = 10, least_mentions: int = 2) -> DataFrame:
+def cluster_trend(facts: DataFrame, least_posts: int = 10, least_mentions: int = 2, digits: int = 4) -> DataFrame:
     """Brands of clusters with a score of spike, sentiment and reach; the cluster's category is its most frequent."""
     cur = F.col("is_cur")
     groups = facts.groupBy("cluster").agg(F.count_if(cur).alias("posts"), F.mode(F.when(cur, F.col("category")), True).alias("category")).where(F.col("posts") >= least_posts)
@@ -38,8 +38,8 @@ def cluster_trend(facts: DataFrame, least_posts: int = 10, least_mentions: int =
     whole = Window.partitionBy("cluster")
     rows = rows.withColumn("brand_spike", F.round(F.col("c") / F.greatest("p", F.lit(1)), 3)).withColumn("__top", F.percentile("brand_spike", F.lit(0.97)).over(whole))
     rows = rows.withColumn("norm_spike", F.round(F.least(F.col("brand_spike") / F.greatest(F.when(F.col("__top") == 0, 1.0).otherwise(F.col("__top")), F.lit(1.0)), F.lit(1.0)), 4))
-    rows = rows.withColumn("sentiment_score", F.round((F.col("s") + 1) / 2, 4)).withColumn("comm_score", F.round(F.col("communities") / F.greatest(F.max("communities").over(whole), F.lit(1)), 4))
-    return rows.withColumn("brand_trend_score", F.round(0.40 * F.col("norm_spike") + 0.35 * F.col("sentiment_score") + 0.25 * F.col("comm_score"), 6)).select("cluster", "category", "brand", F.col("c").alias("cur_mentions"), F.col("p").alias("prev_mentions"), "communities", "brand_spike", "norm_spike", "sentiment_score", "comm_score", "brand_trend_score")
+    rows = rows.withColumn("sentiment_score", F.round((F.round("s", 3) + 1) / 2, 4)).withColumn("comm_score", F.round(F.col("communities") / F.greatest(F.max("communities").over(whole), F.lit(1)), 4))
+    return rows.withColumn("brand_trend_score", F.round(0.40 * F.col("norm_spike") + 0.35 * F.col("sentiment_score") + 0.25 * F.col("comm_score"), digits)).select("cluster", "category", "brand", F.col("c").alias("cur_mentions"), F.col("p").alias("prev_mentions"), "communities", "brand_spike", "norm_spike", "sentiment_score", "comm_score", "brand_trend_score")
 
 
 def brand_posts(brands: DataFrame, posts: DataFrame, k: int = 10) -> DataFrame:
@@ -60,11 +60,13 @@ def keyword_matrix(table: DataFrame) -> DataFrame:
 
 def coverage_report(taxonomy: DataFrame, posts: DataFrame, recent_days: int = 14) -> DataFrame:
     """Every cluster with its posts, communities, score, five largest communities, recent posts and status."""
-    per = posts.groupBy("cluster").agg(F.count("*").alias("mentions"), F.count_distinct("community").alias("communities"), F.avg("score").alias("avg_score"))
-    pairs = ranked(posts.groupBy("cluster", "community").agg(F.count("*").alias("n")), ["cluster"], 5, F.col("n").desc(), F.col("community"))
-    top = pairs.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("rank", "community"))).alias("t")).select("cluster", F.array_join(F.transform("t", lambda x: x["community"]), ", ").alias("top_communities"))
-    last = posts.agg((F.max("published_at") - F.expr(f"INTERVAL {recent_days} DAY")).alias("__cut"))
-    recent = posts.join(F.broadcast(last), F.col("published_at") >= F.col("__cut")).groupBy("cluster").agg(F.count("*").alias("recent_mentions"))
-    rows = taxonomy.select("cluster").join(per, "cluster", "left").join(top, "cluster", "left").join(recent, "cluster", "left")
+    cut = posts.agg(F.max("published_at") - F.expr(f"INTERVAL {recent_days} DAY")).first()[0]  # from the files' statistics, or one column
+    recent = F.count_if(F.col("published_at") >= F.lit(cut)) if cut is not None else F.lit(0).cast("bigint")
+    # One pass: a row for each cluster and community, from which all the rest is summed.
+    pairs = posts.groupBy("cluster", "community").agg(F.count("*").alias("n"), recent.alias("recent"), F.sum("score").alias("total"), F.count("score").alias("scored"))
+    place = F.row_number().over(Window.partitionBy("cluster").orderBy(F.col("community").isNull(), F.col("n").desc(), "community"))
+    top = F.collect_list(F.when((F.col("rank") <= 5) & F.col("community").isNotNull(), F.struct("rank", "community")))
+    per = pairs.withColumn("rank", place).groupBy("cluster").agg(F.sum("n").alias("mentions"), F.count("community").alias("communities"), F.try_divide(F.sum("total"), F.sum("scored")).alias("avg_score"), F.array_join(F.transform(F.sort_array(top), lambda x: x["community"]), ", ").alias("top_communities"), F.sum("recent").alias("recent_mentions"))
+    rows = taxonomy.select("cluster").join(per, "cluster", "left")
     rows = rows.na.fill({"mentions": 0, "communities": 0, "recent_mentions": 0, "top_communities": ""})
     return rows.withColumn("status", F.when(F.col("mentions") >= 100, "OK").when(F.col("mentions") > 0, "thin").otherwise("missing"))

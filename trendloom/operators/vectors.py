@@ -67,8 +67,14 @@ def knn_vote(new: DataFrame, bank: DataFrame, k: int = 5, key: str = "vec_id", l
         x, y = matrix(new_rows.column("embedding").combine_chunks()), matrix(bank_rows.column("embedding").combine_chunks())
         products = x @ y.T
         kept = min(k, products.shape[1])
-        best = np.argpartition(-products, kept - 1, axis=1)[:, :kept]
         ids, labels = bank_rows.column("id").to_numpy(), bank_rows.column("label").to_numpy()
+        # All above the k-th cosine, and of those that have it the smallest ids.
+        order = np.argsort(ids, kind="stable")
+        ids, labels, products = ids[order], labels[order], products[:, order]
+        last = np.partition(products, -kept, axis=1)[:, [-kept]]
+        chosen, ties = products > last, products == last
+        chosen |= ties & (np.cumsum(ties, axis=1) <= kept - chosen.sum(1, keepdims=True))
+        best = np.nonzero(chosen)[1].reshape(-1, kept)
         return pa.table([np.repeat(new_rows.column("id").to_numpy(), kept), ids[best].ravel(), pa.array(labels[best].ravel(), pa.int32()), np.take_along_axis(products, best, 1).ravel()], schema=out)
 
     pairs = held.unionByName(asked).groupBy("b", "q").applyInArrow(near, "id bigint, other bigint, label int, cosine double")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.numbers import unit
 from ..operators import brands, extraction, models, records, vectors, weekly, windows
-from .tables import BRAND_FACTS, MENTIONS, SERIES, brand_facts, load, mentions, series
+from .tables import BRAND_FACTS, MENTIONS, SERIES, brand_facts, load, mentions, series, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -143,9 +143,9 @@ def kpi_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return board(spark, sf_dir).where("category <> 'Other'").groupBy("back").agg(F.count("*").alias("categories"), of("rising"), of("declining"), of("stable"), F.sum("mentions_c").alias("mentions"))
 
 
-@query(f"{BOARD} SELECT back, category, spike_ratio, rank FROM (SELECT *, row_number() OVER (PARTITION BY back ORDER BY spike_ratio DESC, category) AS rank FROM final WHERE view_direction <> 'declining') WHERE rank <= 8")
+@query(f"{BOARD} SELECT back, category, spike_ratio, rank FROM (SELECT *, row_number() OVER (PARTITION BY back ORDER BY spike_ratio DESC, category) AS rank FROM final WHERE view_direction = 'rising') WHERE rank <= 8")
 def spike_radar_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return brands.ranked(board(spark, sf_dir).where("view_direction <> 'declining'"), ["back"], 8, F.col("spike_ratio").desc(), F.col("category")).select("back", "category", "spike_ratio", F.col("rank").cast("bigint").alias("rank"))
+    return brands.ranked(board(spark, sf_dir).where("view_direction = 'rising'"), ["back"], 8, F.col("spike_ratio").desc(), F.col("category")).select("back", "category", "spike_ratio", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"{BOARD} SELECT category, trend_score, spike_ratio, communities_c, round(greatest(8, least(60, 6 * sqrt(cast(mentions_c AS double)))), 6) AS bubble FROM final WHERE back = 1 ORDER BY trend_score DESC, category LIMIT 12")
@@ -306,10 +306,10 @@ def keyword_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 b AS (SELECT cluster, brand, count(*) FILTER (is_cur) AS c, count(*) FILTER (NOT is_cur) AS p, avg(CASE WHEN is_cur THEN sentiment END) AS s, count(DISTINCT CASE WHEN is_cur THEN community END) AS communities FROM facts GROUP BY 1, 2 HAVING count(*) FILTER (is_cur) >= 2),
 k AS (SELECT *, round(c / cast(greatest(p, 1) AS double), 3) AS brand_spike FROM b WHERE cluster IN (SELECT cluster FROM facts WHERE is_cur GROUP BY cluster HAVING count(*) >= 10)),
 q AS (SELECT *, quantile_cont(brand_spike, cast(0.97 AS double)) OVER (PARTITION BY cluster) AS top FROM k),
-r AS (SELECT *, round(least(brand_spike / greatest(CASE WHEN top = 0 THEN 1 ELSE top END, cast(1 AS double)), cast(1 AS double)), 4) AS norm_spike, round((s + 1) / 2, 4) AS sentiment_score, round(communities / cast(greatest(max(communities) OVER (PARTITION BY cluster), 1) AS double), 4) AS comm_score FROM q)
-SELECT cluster, category, brand, c AS cur_mentions, p AS prev_mentions, communities, brand_spike, norm_spike, sentiment_score, comm_score, round(cast(0.40 AS double) * norm_spike + cast(0.35 AS double) * sentiment_score + cast(0.25 AS double) * comm_score, 6) AS brand_trend_score FROM r JOIN modes USING (cluster)""")
+r AS (SELECT *, round(least(brand_spike / greatest(CASE WHEN top = 0 THEN 1 ELSE top END, cast(1 AS double)), cast(1 AS double)), 4) AS norm_spike, round((round(s, 3) + 1) / 2, 4) AS sentiment_score, round(communities / cast(greatest(max(communities) OVER (PARTITION BY cluster), 1) AS double), 4) AS comm_score FROM q)
+SELECT cluster, category, brand, c AS cur_mentions, p AS prev_mentions, communities, brand_spike, norm_spike, sentiment_score, comm_score, round(cast(0.40 AS double) * norm_spike + cast(0.35 AS double) * sentiment_score + cast(0.25 AS double) * comm_score, 8) AS brand_trend_score FROM r JOIN modes USING (cluster)""")
 def cluster_brand_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return brands.cluster_trend(brand_facts(spark, sf_dir))
+    return brands.cluster_trend(brand_facts(spark, sf_dir), digits=8)
 
 
 @query("""WITH posts AS (SELECT doc_id AS mention_id, lang AS category, n_chars AS engagement, text FROM documents), b AS (SELECT DISTINCT lang AS category, unnest(['the', 'ou', 'de la', 'ung']) AS brand FROM documents)
@@ -367,13 +367,13 @@ def pca_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hashed_text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.text_vectors(load(spark, sf_dir, "documents"), "doc_id", "text", 64).select("doc_id", F.size(unit(F.col("embedding"))).alias("width"))
+    return models.text_vectors(load(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", F.transform(unit(F.col("embedding")), lambda x: F.round(x, 6)).alias("embedding"))
 
 
 # Text
 
 
-@query(r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~]', ' ', 'g'), '\s+', ' ', 'g'))) AS norm_md5 FROM documents""")
+@query(r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[''\-.&,!?/\\()\[\]_*@#%^~`|]', ' ', 'g'), '\s+', ' ', 'g'))) AS norm_md5 FROM documents""")
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", F.md5(T.plain(F.col("text"))).alias("norm_md5"))
 
@@ -388,7 +388,7 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("at", "sentence")).select("doc_id", "at", F.md5("sentence").alias("sentence_md5"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, list_filter(string_split_regex(trim(regexp_replace(regexp_replace(lower(text), '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~]', ' ', 'g'), '\s+', ' ', 'g')), '\s+'), lambda x: x <> '') AS w FROM documents),
+@query(r"""WITH t AS (SELECT doc_id, list_filter(string_split_regex(trim(regexp_replace(regexp_replace(lower(text), '[''\-.&,!?/\\()\[\]_*@#%^~`|]', ' ', 'g'), '\s+', ' ', 'g')), '\s+'), lambda x: x <> '') AS w FROM documents),
 u AS (SELECT doc_id, unnest(w) AS one, generate_subscripts(w, 1) AS i FROM t), g AS (SELECT doc_id, one AS g FROM u UNION ALL SELECT doc_id, one || ' ' || lead(one) OVER (PARTITION BY doc_id ORDER BY i) FROM u)
 SELECT doc_id, upper(g) AS brand, count(*) AS hits FROM g WHERE g IN ('the', 'of the', 'de la', 'und') GROUP BY 1, 2""")
 def ngram_dictionary_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -396,9 +396,10 @@ def ngram_dictionary_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.ngram_hits(load(spark, sf_dir, "documents"), names, "doc_id", "text", 2)
 
 
-@query("""SELECT doc_id, alias, brand FROM documents, (VALUES ('thea', 'Thea'), ('ionen', 'Ionen'), ('license', 'Licence')) t(alias, brand) WHERE contains(lower(text), alias)""")
+@query(f"""WITH a(alias, brand) AS (VALUES ('thea', 'Thea'), ('ionen', 'Ionen'), ('license', 'Licence'), ('ing', 'Ing')), f AS (SELECT doc_id, alias, brand, lower(text) AS t, instr(lower(text), alias) AS i FROM documents, a WHERE contains(lower(text), alias))
+SELECT doc_id, alias, brand FROM f WHERE NOT regexp_matches(substr(t, greatest(i - 60, 1), i + length(alias) + 60 - greatest(i - 60, 1)), '{extraction.ANTI_CONTEXT}')""")
 def alias_contains_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extraction.alias_hits(load(spark, sf_dir, "documents"), {"thea": "Thea", "ionen": "Ionen", "license": "Licence"}, "doc_id", "text")
+    return extraction.alias_hits(load(spark, sf_dir, "documents"), {"thea": "Thea", "ionen": "Ionen", "license": "Licence", "ing": "Ing"}, "doc_id", "text")
 
 
 @query()
@@ -406,28 +407,27 @@ def regex_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.regex_candidates(load(spark, sf_dir, "documents"), "doc_id", "text", "source", ["apache", "mit", "gnu"])
 
 
-@query(r"""WITH t AS (SELECT doc_id, source, unnest(list_distinct(list_filter(string_split_regex(trim(regexp_replace(regexp_replace(lower(text), '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~]', ' ', 'g'), '\s+', ' ', 'g')), '\s+'), lambda x: x <> ''))) AS token FROM documents)
+@query(r"""WITH t AS (SELECT doc_id, source, unnest(list_distinct(list_filter(string_split_regex(trim(regexp_replace(regexp_replace(lower(text), '[''\-.&,!?/\\()\[\]_*@#%^~`|]', ' ', 'g'), '\s+', ' ', 'g')), '\s+'), lambda x: x <> ''))) AS token FROM documents)
 SELECT token, count(DISTINCT doc_id) AS posts, count(DISTINCT source) AS communities FROM t GROUP BY token""")
 def candidate_freq_comm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.candidate_spread(load(spark, sf_dir, "documents"), "doc_id", "text", "source")
 
 
-@query(r"""SELECT conv_id, turn, concat_ws(',', CASE WHEN regexp_matches(text, '(?i)\b(bought|buy|buying|purchased?|ordered|picked up)\b') THEN 'purchase' END, CASE WHEN regexp_matches(text, '(?i)\b(my|own|owned|have had|been using)\b') THEN 'ownership' END, CASE WHEN regexp_matches(text, '(?i)\b(vs\.?|versus|better than|compared (to|with)|instead of|switched (to|from))\b') THEN 'comparison' END,
-CASE WHEN regexp_matches(text, '(?i)\b(recommend(ed|s)?|suggest(ed|s)?|favou?rite|try|worth)\b') THEN 'recommendation' END, CASE WHEN regexp_matches(text, '(?i)\b(disappointed|returned|refund|broke|stopped working|avoid)\b') THEN 'complaint' END, CASE WHEN regexp_matches(text, '(?i)\b(brands?|company|maker|made by|label)\b') THEN 'brand_word' END) AS labels FROM conversations""")
+@query(f"SELECT conv_id, turn, concat_ws(',', {', '.join(f"CASE WHEN regexp_matches(text, '{pattern}') THEN '{label}' END" for label, pattern in extraction.GATES.items())}) AS labels FROM conversations")
 def context_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(extraction.gate_labels(F.coalesce("text", F.lit(""))), ",").alias("labels"))
 
 
 @query()
 def brand_context_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lexicon = extraction.Lexicon({"apache license": "Apache License", "mit license": "MIT License", "gnu": "GNU"}, frozenset({"license", "work"}), frozenset({"the"}))
+    lexicon = extraction.Lexicon({"apache license": "Apache License", "mit license": "MIT License", "gnu": "GNU"}, frozenset({"license", "work"}))
     return extraction.sentence_brands(load(spark, sf_dir, "documents"), "doc_id", "text", lexicon)
 
 
 LEXICON = "('worthless', cast(-2.0 AS double)), ('pathetic', cast(-2.5 AS double)), ('the', cast(0.1 AS double)), ('und', cast(0.2 AS double)), ('love', cast(3.0 AS double))"
 
 
-@query(rf"""WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(trim(regexp_replace(regexp_replace(lower(left(text, 500)), '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{{|}}~]', ' ', 'g'), '\s+', ' ', 'g')), '\s+'), lambda x: x <> '')) AS word FROM documents), lex AS (SELECT * FROM (VALUES {LEXICON}) t(word, valence)),
+@query(rf"""WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(trim(regexp_replace(regexp_replace(lower(left(text, 500)), '[''\-.&,!?/\\()\[\]_*@#%^~`|]', ' ', 'g'), '\s+', ' ', 'g')), '\s+'), lambda x: x <> '')) AS word FROM documents), lex AS (SELECT * FROM (VALUES {LEXICON}) t(word, valence)),
 s AS (SELECT d.doc_id, coalesce(sum(valence), 0) AS x, count(w.word) AS n, count(*) FILTER (valence > 0) AS pos, count(*) FILTER (valence < 0) AS neg FROM documents d LEFT JOIN w ON d.doc_id = w.doc_id LEFT JOIN lex ON w.word = lex.word GROUP BY 1)
 SELECT doc_id, round(x / sqrt(x * x + 15), 4) AS sentiment_compound, round(coalesce(pos / cast(nullif(n, 0) AS double), 0), 3) AS sentiment_positive, round(coalesce(neg / cast(nullif(n, 0) AS double), 0), 3) AS sentiment_negative, CASE WHEN round(x / sqrt(x * x + 15), 4) >= cast(0.05 AS double) THEN 'positive' WHEN round(x / sqrt(x * x + 15), 4) <= cast(-0.05 AS double) THEN 'negative' ELSE 'neutral' END AS sentiment_label FROM s""")
 def lexicon_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -453,7 +453,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _places(spark: SparkSession) -> tuple[str, str]:
     import uuid
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/trendloom-checkpoints").rstrip("/") + f"/streams/{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
     return f"{base}/state", f"{base}/out"
 
 
@@ -465,9 +465,9 @@ def stream_weekly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collected(weekly_counts(_stream(spark, sf_dir)), state, out, "complete")
 
 
-@query("SELECT event_id AS mention_id FROM events")
+@query(f"WITH {MENTIONS} SELECT DISTINCT category FROM mentions")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming import collected, first_only
 
     state, out = _places(spark)
-    return collected(first_only(_stream(spark, sf_dir), "mention_id"), state, out).select("mention_id")
+    return collected(first_only(_stream(spark, sf_dir), "category"), state, out).select("category")

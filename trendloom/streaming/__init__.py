@@ -19,23 +19,34 @@ def first_only(stream: DataFrame, key: str, time: str = "published_at", late: st
 
 
 def collected(result: DataFrame, checkpoint: str, out: str, mode: str = "append") -> DataFrame:
-    """Run what is available, write it to ``out`` and read it. Complete results replace those before."""
+    """Run what is available, write it to ``out`` and read it.
+
+    Complete results replace those before. Others go to a folder for each batch, so a batch that is run again after a
+    failure replaces what it had written.
+    """
     spark = result.sparkSession
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch_id={number}")
 
     result.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(result.schema).parquet(out)
 
 
 def incremental(stream: DataFrame, known: Callable[[], DataFrame], key: str, process: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
-    """Each batch: rows with new keys are processed and appended. ``known`` reads the keys present now."""
+    """Each batch: rows with new keys are processed and written to the batch's own folder of ``out``.
+
+    ``known`` reads the keys present before; keys of the batch's own folder are not among them if it is run again, as
+    that folder is emptied first.
+    """
 
-    def step(batch: DataFrame, _: int) -> None:
+    def step(batch: DataFrame, number: int) -> None:
         from ..operators.records import first_by, new_rows
 
+        place = f"{out}/batch_id={number}"
+        hadoop = batch.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+        hadoop.getFileSystem(batch.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
         fresh = new_rows(first_by(batch, [key], F.col(key)), known(), key)
-        process(fresh).write.mode("append").parquet(out)
+        process(fresh).write.mode("overwrite").parquet(place)
 
     stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
