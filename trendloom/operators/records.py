@@ -38,6 +38,13 @@ def category_of(cluster: Column, score: Column, least: float = 0.10, other: str
     return F.when(named & (score >= least), cluster).otherwise(other)
 
 
+def with_category(posts: DataFrame, cluster: str = "target_cluster", score: str = "target_cluster_score", legacy: str = "category") -> DataFrame:
+    """``category`` by cluster, a missing score column counting as 1; without clusters the old label, or ``unknown``."""
+    if cluster in posts.columns:
+        return posts.withColumn("category", category_of(F.col(cluster), F.col(score) if score in posts.columns else F.lit(1.0)))
+    return posts.withColumn("category", F.coalesce(F.col(legacy) if legacy in posts.columns else F.lit(None).cast("string"), F.lit("unknown")))
+
+
 def aligned(df: DataFrame, schema: StructType, key: str) -> DataFrame:
     """The columns of ``schema`` in its order; missing ones null, others dropped; rows without a key are refused."""
     if key not in df.columns:

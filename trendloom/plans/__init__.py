@@ -1 +1,3 @@
-"""Registered queries over the test tables and their SQL."""
+"""Plans: the registered queries over the test tables."""
+
+from . import queries, report  # noqa: F401

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,37 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def append_csv(df: DataFrame, path: str) -> None:
+    """More files in a folder of CSV, each with its heading."""
+    df.write.mode("append").option("header", True).option("escape", '"').csv(path)
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a job wrote all of ``path``: a folder without the committer's mark is a broken-off one."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
+def stage(spark: SparkSession, path: str, make: Callable[[], DataFrame], again: bool = False) -> DataFrame:
+    """A stage's table, made only if it isn't there in full or is asked for ``again``."""
+    if again or not finished(spark, path):
+        write_stage(make(), path)
+    return spark.read.parquet(path)
+
+
+def resumed(spark: SparkSession, rows: DataFrame, path: str, key: str, make: Callable[[DataFrame], DataFrame], steps: int = 16) -> DataFrame:
+    """``make`` of all rows, in steps by the hash of their key, each a stage of its own: a rerun does the missing ones.
+
+    ``make`` works row by row. The number of steps is part of the folder's layout and must stay the same.
+    """
+    own = F.pmod(F.xxhash64(key), F.lit(steps))
+    parts = [f"{path}/step={i:05d}" for i in range(steps)]
+    for i, part in enumerate(parts):
+        if not finished(spark, part):
+            write_stage(make(rows.where(own == i)), part)
+    return spark.read.parquet(*parts)
+
+
 def manifest(spark: SparkSession, paths: list[str], required: list[str] | None = None) -> DataFrame:
     """``path, bytes, sha256, modified`` of files; a required one that is missing fails."""
     files = spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("modified"))
