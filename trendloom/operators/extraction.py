@@ -34,11 +34,16 @@ WEIGHTS = {
 STRONG = {"purchase", "usage", "comparison", "recommendation", "dupe_alternative", "evaluation", "trend"}
 
 
-def whitelist(raw: DataFrame, stop: list[str], known: list[str], frequencies: DataFrame | None = None, most: float = 5e-5) -> DataFrame:
-    """``norm, display`` from ``display, pos``: first spelling wins; stop words, short and too common words are out."""
-    rows = raw.withColumn("norm", T.plain(F.col("display"))).where((F.length("norm") >= 2) & ~F.col("norm").isin(stop))
+def whitelist(raw: DataFrame, stop: list[str], known: list[str], frequencies: DataFrame | None = None, most: float = 5e-5, products: list[str] | None = None) -> DataFrame:
+    """``norm, display`` from ``display, pos``: first spelling wins.
+
+    Out are names under two characters, names all of whose words are stop words, product terms, and single words more
+    frequent than ``most`` that are not ``known``. ``frequencies`` has ``word, freq``.
+    """
+    rows = raw.withColumn("norm", T.plain(F.col("display"))).where((F.length("norm") >= 2) & ~F.col("norm").isin(products or []))
+    rows = rows.where(F.exists(T.tokens(F.col("norm")), lambda w: ~w.isin(stop)))
     if frequencies is not None:
-        common = frequencies.where(F.col("freq") > most).select(F.col("word").alias("norm")).where(~F.col("norm").isin(known))
+        common = frequencies.where(F.col("freq") > most).select(F.col("word").alias("norm")).where(~F.col("norm").isin(known) & ~F.contains("norm", F.lit(" ")))
         rows = rows.join(common, "norm", "left_anti")
     return rows.groupBy("norm").agg(F.min_by("display", F.struct("pos", "display")).alias("display"))
 
@@ -70,6 +75,42 @@ def alias_hits(posts: DataFrame, aliases: dict[str, str], key: str, text: str) -
     return found.where(~F.coalesce(T.around(F.col("__low"), F.col("x.alias"), 60).rlike(ANTI_CONTEXT), F.lit(False))).select(key, "x.alias", "x.brand")
 
 
+# Parts of product names and the brand that makes them.
+PRODUCT_LINES = {
+    "airpods": "Apple", "iphone": "Apple", "ipad": "Apple", "macbook": "Apple", "apple watch": "Apple", "apple tv": "Apple", "apple card": "Apple",
+    "galaxy s": "Samsung", "galaxy z": "Samsung", "galaxy a": "Samsung", "galaxy tab": "Samsung", "galaxy buds": "Samsung", "galaxy watch": "Samsung",
+    "pixel phone": "Google", "pixel buds": "Google", "pixel watch": "Google", "chromecast": "Google", "google home": "Google", "nest mini": "Google", "nest hub": "Google",
+    "surface pro": "Microsoft", "surface laptop": "Microsoft", "surface go": "Microsoft", "xbox series": "Microsoft", "xbox one": "Microsoft",
+    "playstation 5": "Sony", "playstation 4": "Sony", "ps5": "Sony", "ps4": "Sony", "wh-1000": "Sony", "linkbuds": "Sony",
+    "nintendo switch": "Nintendo", "switch oled": "Nintendo", "switch lite": "Nintendo",
+    "echo dot": "Amazon", "echo show": "Amazon", "echo pop": "Amazon", "fire tv": "Amazon", "fire tablet": "Amazon",
+    "dyson airwrap": "Dyson", "dyson supersonic": "Dyson", "dyson v": "Dyson", "dyson tp": "Dyson",
+    "roomba": "iRobot", "gopro hero": "GoPro", "gopro max": "GoPro", "instant pot": "Instant Brands",
+    "nespresso vertuo": "Nespresso", "nespresso original": "Nespresso", "keurig k-": "Keurig", "vitamix a": "Vitamix", "vitamix e": "Vitamix",
+    "shark navigator": "Shark", "shark iz": "Shark", "shark stratos": "Shark", "lamy safari": "LAMY", "lamy 2000": "LAMY",
+    "pilot metropolitan": "Pilot", "pilot kakuno": "Pilot", "twsbi eco": "TWSBI", "twsbi diamond": "TWSBI",
+}
+
+
+def line_hits(posts: DataFrame, key: str, text: str, lines: dict[str, str] = PRODUCT_LINES) -> DataFrame:
+    """``key, brand, line, confidence``: brands by their product lines in the text, the first line listed for each."""
+    place = F.array_position(F.array(*map(F.lit, lines)), F.col("alias"))
+    hits = alias_hits(posts, lines, key, text)
+    return hits.groupBy(key, "brand").agg(F.min_by("alias", place).alias("line")).withColumn("confidence", F.lit(0.95))
+
+
+def known_hits(posts: DataFrame, key: str, text: str, known: dict[str, float], most: float = 5e-5) -> DataFrame:
+    """``key, norm, brand, confidence`` of known brands, given with their word frequency, found as parts of the text.
+
+    Anti-context around the first place rejects; a word more frequent than ``most`` needs brand context there.
+    """
+    own = F.array(*(F.struct(F.lit(n).alias("norm"), F.lit(f > most).alias("common")) for n, f in known.items()))
+    low = posts.select(key, F.lower(F.col(text)).alias("__low"))
+    found = low.select(key, "__low", F.explode(F.filter(own, lambda x: F.contains(F.col("__low"), x["norm"]))).alias("x")).select(key, "x.*", T.around(F.col("__low"), F.col("x.norm"), 60).alias("context"))
+    held = found.where(~F.col("context").rlike(ANTI_CONTEXT) & (~F.col("common") | F.col("context").rlike(BRAND_CONTEXT)))
+    return held.select(key, "norm", T.display(F.col("norm")).alias("brand"), F.lit(0.85).alias("confidence"))
+
+
 def candidates(text: Column) -> Column:
     """Distinct candidate strings, by priority of their pattern."""
     return F.array_distinct(F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in CANDIDATE_PATTERNS)))
