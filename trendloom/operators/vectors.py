@@ -49,7 +49,8 @@ def knn_vote(new: DataFrame, bank: DataFrame, k: int = 5, key: str = "vec_id", l
     """``key, label``: the most frequent label of the k nearest, noise (-1) left out; ties to the smallest, none is -1.
 
     Both sides are dealt into blocks of about ``block`` vectors; each pair of blocks is a matrix product that returns
-    k rows for a new vector, and the best k of these vote. New vectors are the queries of an increment.
+    k rows for a new vector, and the best k of these vote. New vectors are the queries of an increment. A bank that
+    holds them too leaves a query its own id's row out; ties of cosine go to the smallest id.
     """
     n_new, n_bank = (max(1, -(-df.count() // block)) for df in (new, bank))
     own = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
@@ -66,16 +67,20 @@ def knn_vote(new: DataFrame, bank: DataFrame, k: int = 5, key: str = "vec_id", l
             return out.empty_table()
         x, y = matrix(new_rows.column("embedding").combine_chunks()), matrix(bank_rows.column("embedding").combine_chunks())
         products = x @ y.T
-        kept = min(k, products.shape[1])
+        asked_ids = new_rows.column("id").to_numpy()
         ids, labels = bank_rows.column("id").to_numpy(), bank_rows.column("label").to_numpy()
         # All above the k-th cosine, and of those that have it the smallest ids.
         order = np.argsort(ids, kind="stable")
         ids, labels, products = ids[order], labels[order], products[:, order]
+        products[asked_ids[:, None] == ids[None, :]] = -np.inf
+        kept = min(k, products.shape[1])
         last = np.partition(products, -kept, axis=1)[:, [-kept]]
         chosen, ties = products > last, products == last
         chosen |= ties & (np.cumsum(ties, axis=1) <= kept - chosen.sum(1, keepdims=True))
         best = np.nonzero(chosen)[1].reshape(-1, kept)
-        return pa.table([np.repeat(new_rows.column("id").to_numpy(), kept), ids[best].ravel(), pa.array(labels[best].ravel(), pa.int32()), np.take_along_axis(products, best, 1).ravel()], schema=out)
+        cosine = np.take_along_axis(products, best, 1).ravel()
+        rows = pa.table([np.repeat(asked_ids, kept), ids[best].ravel(), pa.array(labels[best].ravel(), pa.int32()), cosine], schema=out)
+        return rows.filter(pa.array(np.isfinite(cosine)))
 
     pairs = held.unionByName(asked).groupBy("b", "q").applyInArrow(near, "id bigint, other bigint, label int, cosine double")
     top = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.col("cosine").desc(), "other"))).where(F.col("rank") <= k)

@@ -14,16 +14,22 @@ def week_windows(mentions: DataFrame, time: str = "published_at", tz: str = "Ame
     Calendar days are counted, so a week over a clock change has seven of them.
     """
     local = F.convert_timezone(F.lit("UTC"), F.lit(tz), F.max(F.col(time).cast("timestamp_ntz")))
-    last = mentions.agg(F.to_date(local).alias("day")).select(F.date_sub("day", F.dayofweek("day") - 1).alias("sunday"))
+    latest = mentions.agg(F.to_date(local)).first()[0]  # one value, so that windows are literals
+    last = mentions.sparkSession.range(1).select(F.lit(latest).cast("date").alias("day")).select(F.date_sub("day", F.dayofweek("day") - 1).alias("sunday"))
     rows = last.select("sunday", F.explode(F.sequence(F.lit(0), F.lit(weeks - 1))).alias("back"))
     start = F.date_sub("sunday", F.col("back") * 7)
     return rows.select("back", start.alias("cur_start"), F.date_sub(start, 7).alias("prev_start"), F.date_add(start, 7).alias("cur_end"), F.concat(F.date_format(start, "MM/dd"), F.lit("–"), F.date_format(F.date_add(start, 6), "MM/dd")).alias("window_label"))
 
 
 def in_windows(mentions: DataFrame, windows: DataFrame, time: str = "published_at", tz: str = "America/Los_Angeles") -> DataFrame:
-    """Each row with each window it is in (two at most), ``is_cur`` and its local day. ``windows`` has a row a week."""
-    local = F.convert_timezone(F.lit("UTC"), F.lit(tz), F.col(time).cast("timestamp_ntz"))
-    rows = mentions.withColumn("local_day", F.to_date(local))
+    """Each row with each window it is in (two at most), ``is_cur`` and its local day. ``windows`` has a row a week.
+
+    Their range with a day on both sides, more than any zone shifts, goes to the scan as literals.
+    """
+    utc = F.col(time).cast("timestamp_ntz")
+    low, high = windows.agg(F.date_sub(F.min("prev_start"), 1), F.date_add(F.max("cur_end"), 1)).first()
+    held = mentions.where((utc >= F.lit(low).cast("timestamp_ntz")) & (utc < F.lit(high).cast("timestamp_ntz")))
+    rows = held.withColumn("local_day", F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(tz), utc)))
     return rows.join(F.broadcast(windows), (F.col("local_day") >= F.col("prev_start")) & (F.col("local_day") < F.col("cur_end"))).withColumn("is_cur", F.col("local_day") >= F.col("cur_start"))
 
 

@@ -287,9 +287,11 @@ def brand_table_cur_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brands.brand_table(brand_facts(spark, sf_dir))
 
 
-@query(f"""{BRANDS}, many AS (SELECT * FROM brand_table WHERE cur_mentions >= 25) SELECT brand, count(DISTINCT category) AS brand_categories, (SELECT count(DISTINCT category) FROM many) AS n_categories, round(count(DISTINCT category) / cast((SELECT count(DISTINCT category) FROM many) AS double), 6) AS category_share FROM many GROUP BY brand HAVING count(DISTINCT category) / cast((SELECT count(DISTINCT category) FROM many) AS double) <= cast(0.4 AS double)""")
+@query(f"""{BRANDS.replace("p_brand AS brand", "concat(p_brand, ' ', p_name) AS brand")}, many AS (SELECT * FROM brand_table) SELECT brand, count(DISTINCT category) AS brand_categories, (SELECT count(DISTINCT category) FROM many) AS n_categories, round(count(DISTINCT category) / cast((SELECT count(DISTINCT category) FROM many) AS double), 6) AS category_share FROM many GROUP BY brand HAVING count(DISTINCT category) / cast((SELECT count(DISTINCT category) FROM many) AS double) <= cast(0.4 AS double)""")
 def brand_spread_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return brands.spread(brands.brand_table(brand_facts(spark, sf_dir), least=25)).withColumn("category_share", F.round("category_share", 6))
+    """A brand's line of products counts as the brand, as all brands are in all categories."""
+    facts = brand_facts(spark, sf_dir, "concat(p_brand, ' ', p_name)")
+    return brands.spread(brands.brand_table(facts)).withColumn("category_share", F.round("category_share", 6))
 
 
 @query(f"{BRANDS} SELECT category, brand, cur_mentions, brand_rank FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY cur_mentions DESC, brand_spike DESC, avg_sentiment DESC NULLS LAST, brand) AS brand_rank FROM brand_table) WHERE brand_rank <= 30")
@@ -343,13 +345,13 @@ def nearest_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest_taxonomy(e, tax)
 
 
-@query("""WITH s AS (SELECT n.vec_id, b.vec_id AS other, b.label, list_dot_product(cast(n.embedding AS double[]), cast(b.embedding AS double[])) / sqrt(list_dot_product(cast(n.embedding AS double[]), cast(n.embedding AS double[]))) / sqrt(list_dot_product(cast(b.embedding AS double[]), cast(b.embedding AS double[]))) AS c FROM embeddings n, embeddings b WHERE n.vec_id % 5 = 0 AND b.vec_id % 5 <> 0),
+@query("""WITH s AS (SELECT n.vec_id, b.vec_id AS other, b.label, list_dot_product(cast(n.embedding AS double[]), cast(b.embedding AS double[])) / sqrt(list_dot_product(cast(n.embedding AS double[]), cast(n.embedding AS double[]))) / sqrt(list_dot_product(cast(b.embedding AS double[]), cast(b.embedding AS double[]))) AS c FROM embeddings n, embeddings b WHERE n.vec_id % 50 = 0 AND b.vec_id <> n.vec_id),
 k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, other) AS r FROM s) WHERE r <= 5), v AS (SELECT vec_id, label, count(*) AS n FROM k GROUP BY 1, 2)
 SELECT vec_id, arg_min(label, (-n, label)) AS label FROM v GROUP BY vec_id""")
 def knn_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The increment is every fifth vector, the bank the rest: the operator's own split into queries and base."""
+    """The stated query set of searches, ids divisible by 50, against all rows but the query itself."""
     e = load(spark, sf_dir, "embeddings")
-    return vectors.knn_vote(e.where("vec_id % 5 = 0"), e.where("vec_id % 5 <> 0"))
+    return vectors.knn_vote(e.where("vec_id % 50 = 0"), e)
 
 
 @query("""WITH tax AS (SELECT * FROM (VALUES ('src1', ['token', 'license']), ('src2', cast(NULL AS varchar[])), ('src3', ['!!'])) t(id, terms))

@@ -29,10 +29,10 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 SERIES = "series AS (SELECT o_orderpriority AS category, o_custkey % 50 AS community, o_orderdate AS published_at, cast((o_orderkey * 37) % 201 - 100 AS double) / cast(100 AS double) AS sentiment, o_totalprice AS engagement FROM orders)"
 
 
-def brand_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def brand_facts(spark: SparkSession, sf_dir: str, brand: str = "p_brand") -> DataFrame:
     """Current: shipped from 1998 on."""
     rows = load(spark, sf_dir, "lineitem").join(load(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return rows.select(F.col("p_type").alias("category"), F.col("p_brand").alias("brand"), (F.col("l_suppkey") % 20).alias("community"), (F.col("p_size") % 7).alias("cluster"), (F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp_ntz")).alias("is_cur"), F.expr("cast((l_orderkey * 37 + l_linenumber) % 201 - 100 as double) / cast(100 as double)").alias("sentiment"))
+    return rows.select(F.col("p_type").alias("category"), F.expr(brand).alias("brand"), (F.col("l_suppkey") % 20).alias("community"), (F.col("p_size") % 7).alias("cluster"), (F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp_ntz")).alias("is_cur"), F.expr("cast((l_orderkey * 37 + l_linenumber) % 201 - 100 as double) / cast(100 as double)").alias("sentiment"))
 
 
 BRAND_FACTS = "facts AS (SELECT p_type AS category, p_brand AS brand, l_suppkey % 20 AS community, p_size % 7 AS cluster, l_shipdate >= TIMESTAMP '1998-01-01' AS is_cur, cast((l_orderkey * 37 + l_linenumber) % 201 - 100 AS double) / cast(100 AS double) AS sentiment FROM lineitem JOIN part ON l_partkey = p_partkey)"
