@@ -12,13 +12,16 @@ empty one; other columns are not read.
 
 from __future__ import annotations
 
+import array
 import base64
 import functools
 import hashlib
-import itertools
 import os
-import re
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,29 +64,63 @@ class ByteBpe:
         self.parted = pattern == BUILT_IN
         table = {char: byte for byte, char in enumerate(chars)}
         self.bytes_of = {i: bytes(map(table.__getitem__, token)) for token, i in self.tokenizer.get_vocab().items()}
-        self.text_of = {i: str(i) for i in self.bytes_of}
-        self.fresh: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        # A piece of the built-in pattern begins at each single space between others, so such parts can be encoded apart.
-        cut = [self.parted and not SPACE_RUN.search(text) for text in texts]
-        parts = [text.replace(" ", "\0 ").split("\0") for text, apart in zip(texts, cut, strict=True) if apart]
-        unknown = set().union(*parts) - self.fresh.keys()
-        found = {part: self.older[part] for part in unknown if part in self.older}
-        rest = [part for part in unknown if part not in found]
+        every = range(max(self.bytes_of, default=-1) + 1)
+        self.all_bytes = pa.array([self.bytes_of.get(i, b"") for i in every], pa.binary())
+        self.all_numbers = pa.array([f"{i},".encode() for i in every], pa.binary())
+        self.fresh: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def asked(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts from the library, as 32-bit integers one after the other."""
         # One call for all: a call costs more than many parts.
-        whole = [text for text, apart in zip(texts, cut, strict=True) if not apart]
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(rest + whole, add_special_tokens=False)] if rest or whole else []
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+        return [array.array("i", e.ids).tobytes() for e in found]
+
+    def ids_of(self, parts: list[str]) -> list[bytes]:
+        """Ids of different parts, remembered ones without the library."""
         known = self.fresh
-        known.update(found)
-        known.update(zip(rest, got))
-        of_parts, of_whole = iter(parts), iter(got[len(rest) :])
-        out = [list(itertools.chain.from_iterable(map(known.__getitem__, next(of_parts)))) if apart else next(of_whole) for apart in cut]
+        rest = []
+        for part in parts:
+            if part not in known:
+                if part in self.older:
+                    known[part] = self.older[part]
+                else:
+                    rest.append(part)
+        got = dict(zip(rest, self.asked(rest), strict=True))
+        known.update((part, ids) for part, ids in got.items() if len(part) < LONG)
+        out = [got[part] if part in got else known[part] for part in parts]
         if len(known) > REMEMBERED:
             self.older, self.fresh = known, {}
         return out
 
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and where each text's begin and end in it."""
+        column = pa.array(texts, pa.string())
+        whole = np.ones(len(texts), bool) if not self.parted else pc.match_substring_regex(column, RUNS).to_numpy(zero_copy_only=False).astype(bool)
+        # A piece of the built-in pattern begins at each single space between others, so such parts can be encoded apart.
+        lists = pc.split_pattern(pc.replace_substring(column.filter(pa.array(~whole)), " ", "\0 "), "\0")
+        coded = pc.dictionary_encode(lists.flatten())
+        n_parts = np.ones(len(texts), np.int64)
+        n_parts[~whole] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        of_parts = self.ids_of(coded.dictionary.to_pylist()) + self.asked(column.filter(pa.array(whole)).to_pylist())
+        # The parts of all texts in order: those cut apart by their place among the different ones, whole texts after these.
+        which = np.empty(int(n_parts.sum()), np.int64)
+        alone = np.repeat(whole, n_parts)
+        which[~alone] = coded.indices.to_numpy(zero_copy_only=False)
+        which[alone] = len(coded.dictionary) + np.arange(int(whole.sum()))
+        sizes = np.fromiter(map(len, of_parts), np.int64, len(of_parts)) // 4
+        begins = np.cumsum(sizes) - sizes
+        taken = sizes[which]
+        ends = np.cumsum(taken)
+        own = np.frombuffer(b"".join(of_parts), np.int32)
+        ids = own[np.repeat(begins[which] - (ends - taken), taken) + np.arange(ends[-1] if len(ends) else 0)]
+        stops = np.concatenate([[0], ends])[np.cumsum(n_parts)] if len(texts) else np.empty(0, np.int64)
+        return ids, np.concatenate([[0], stops[:-1]]) if len(texts) else stops, stops
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        ids, starts, stops = self.encode_flat(texts)
+        return [ids[a:b].tolist() for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+
     def encode_with_offsets(self, texts: list[str]) -> list[tuple[list[int], list[tuple[int, int]]]]:
         """Ids and, for each, the code points [start, end) that its bytes belong to; split characters overlap."""
         return [(found.ids, found.offsets) for found in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -103,15 +140,25 @@ class ByteBpe:
         return [reader.decode(self.bytes_of[i]) for i in ids]
 
 
-#: Parts of texts remembered with their ids, twice: those lately met and those before.
+#: Parts of texts remembered with their ids, twice: those lately met and those before; longer ones are not.
 REMEMBERED = 250_000
-#: White space before a space, or a space at the end: there, pieces depend on what stands on both sides of a space. And
-#: runs so long that they shouldn't be remembered.
-SPACE_RUN = re.compile(r"\s |\x1c|\x1d|\x1e|\x1f|\0| \Z|[^ ]{500}")
+LONG = 500
+#: Texts with white space before a space, or a space at the end, are not cut: there, pieces depend on what stands on both
+#: sides of a space. Nor are those with control characters that only some count as white space.
+RUNS = r"[\s\x0b\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] |[\x00\x1c-\x1f]| \z"
 #: Fixed value: the pattern that the library's byte-level step has built in.
 BUILT_IN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def spelled(table: pa.Array, ids: np.ndarray) -> Callable[[int, int], memoryview]:
+    """What ``table`` has for the ids, joined: bytes of ids from one place to another."""
+    taken = table.take(pa.array(ids))
+    _, offsets, data = taken.buffers()
+    ends = np.frombuffer(offsets, np.int32, len(ids) + 1, 4 * taken.offset)
+    held = memoryview(data).cast("B") if data is not None else memoryview(b"")
+    return lambda a, b: held[ends[a] : ends[b]]
+
+
 @functools.lru_cache(4)
 def byte_bpe(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
@@ -160,12 +207,15 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         out: dict[str, list] = {"id": rows["id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "exact": []}
         texts = [t or "" for t in rows["text"]]
         for i in range(0, len(texts), AT_ONCE):
-            for text, ids in zip(texts[i : i + AT_ONCE], coder.encode(texts[i : i + AT_ONCE]), strict=True):
-                content = coder.decode_bytes(ids)
-                out["n_tokens"].append(len(ids))
-                out["ids_sha256"].append(hashlib.sha256(",".join(map(coder.text_of.__getitem__, ids)).encode()).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(content).hexdigest())
-                out["exact"].append(content == text.encode())
+            some = texts[i : i + AT_ONCE]
+            ids, starts, stops = coder.encode_flat(some)
+            content, numbers = spelled(coder.all_bytes, ids), spelled(coder.all_numbers, ids)
+            for text, a, b in zip(some, starts.tolist(), stops.tolist(), strict=True):
+                own = content(a, b)
+                out["n_tokens"].append(b - a)
+                out["ids_sha256"].append(hashlib.sha256(numbers(a, b)[:-1]).hexdigest())
+                out["decoded_sha256"].append(hashlib.sha256(own).hexdigest())
+                out["exact"].append(own == text.encode())
         return out
 
     kind = docs.schema[id_col].dataType.simpleString()
