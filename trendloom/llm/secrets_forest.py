@@ -219,7 +219,8 @@ def scan(docs: DataFrame, how: Forest | None = None, id_col: str = "doc_id", tex
     how = how or Forest()
     columns = [f"`{c}`" for c in dict.fromkeys([id_col, text_col, *([path_col] if path_col else [])])]
     held, _, got = pieces(docs.select(*columns), text_col, path_col, how, labelled, only_found=True)
-    found = held.select(F.col(f"`{id_col}`").alias("id"), F.posexplode(got).alias("n", "x"))
+    # The outer form, as for the inner one Spark infers a filter that makes all candidates and features a second time.
+    found = held.select(F.col(f"`{id_col}`").alias("id"), F.posexplode_outer(got).alias("n", "x")).where("n is not null")
     return found.select(F.col("id").alias(id_col), "n", "x.kind", F.length("x.candidate").cast("bigint").alias("length"), F.sha2("x.candidate", 256).alias("sha256"), F.round("x.score", 6).alias("score"), (F.col("x.score") >= how.threshold).alias("is_secret"))
 
 
