@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,18 +28,26 @@ def contextual(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(spelled, r"(?U)[^\w']", " "), r"\s+", " "))
 
 
+QUOTES = re.compile("[‘’`´]")
+DASHES = re.compile("[–—−]")
+
+
+def match_form(text: str) -> str:
+    """Compatibility form without combining marks; curly quotes and dashes become plain ones."""
+    if text.isascii():
+        return text.replace("`", "'")
+    parts = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", text))
+    return DASHES.sub("-", QUOTES.sub("'", "".join(c for c in parts if unicodedata.category(c) != "Mn")))
+
+
 def folded(text: Column) -> Column:
-    """Compatibility form without combining marks; curly quotes and dashes become plain ones. Spark has no normaliser."""
+    """:func:`match_form`; Spark has no normaliser."""
 
     @F.pandas_udf("string")
     def fold(values):
-        import unicodedata
-
         import pandas as pd
 
-        signs = str.maketrans({"‘": "'", "’": "'", "`": "'", "´": "'", "–": "-", "—": "-", "−": "-"})
-        plain_form = lambda v: "".join(c for c in unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", v.translate(signs))) if not unicodedata.combining(c))
-        return pd.Series([None if v is None else plain_form(v) for v in values], dtype=object)
+        return pd.Series([None if v is None else match_form(v) for v in values], dtype=object)
 
     return fold(text)
 

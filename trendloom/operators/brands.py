@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .dictionary import blocks, with_places
+
 
 def brand_table(facts: DataFrame, least: int = 3) -> DataFrame:
     """``category, brand`` with mentions ``is_cur`` and before, spike and mean sentiment."""
@@ -43,9 +47,14 @@ def cluster_trend(facts: DataFrame, least_posts: int = 10, least_mentions: int =
 
 
 def brand_posts(brands: DataFrame, posts: DataFrame, k: int = 10) -> DataFrame:
-    """Best posts of each category and brand: those of the category whose text or title has the brand in it."""
-    has = F.contains(F.lower("text"), F.lower("brand")) | F.contains(F.lower(F.coalesce("title", F.lit(""))), F.lower("brand"))
-    hits = brands.select("category", "brand").join(posts, "category").where(has)
+    """Best posts of each category and brand: those of the category whose text or title has the brand in it.
+
+    Names are found in one scan of the posts by an automaton; (category, name) then joins the brands, without texts.
+    """
+    own = brands.select("category", "brand", F.lower("brand").alias("name")).distinct()
+    rows = posts.select("category", "mention_id", "engagement", F.lower(F.concat_ws("\0", "text", "title")).alias("text"))
+    found = [with_places(rows, "text", block, fold=False).select("category", "mention_id", "engagement", F.explode("parts.name").alias("name")) for block in blocks(own.limit(0), own)]
+    hits = reduce(DataFrame.unionByName, found).join(own, ["category", "name"]).drop("name")
     return ranked(hits, ["category", "brand"], k, F.col("engagement").desc(), F.col("mention_id"))
 
 

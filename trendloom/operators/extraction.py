@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .dictionary import listed, with_places
 
 # Patterns of candidate names, in order of priority: quoted, inner capitals, capitals, phrases, words.
 CANDIDATE_PATTERNS = [r"[\"]([^\"]{3,35})[\"]", r"\b([A-Z][a-z]+[A-Z][a-zA-Z]{1,15})\b", r"\b([A-Z][A-Z0-9]{1,7})\b", r"\b([A-Z][a-z]{1,15}(?:\s[A-Z][a-z]{1,15}){1,2})\b", r"(?<=[a-z,;:!?]\s)([A-Z][a-z]{2,15})\b"]
@@ -156,13 +157,9 @@ def candidate_spread(posts: DataFrame, key: str, text: str, community: str) -> D
     return partial.groupBy("token").agg(F.sum("posts").alias("posts"), F.count(community).alias("communities"))
 
 
-def gate_labels(text: Column, names: Column | None = None) -> Column:
-    """Labels of the groups of signs a sentence shows; a listed name in it if it shows none."""
-    shown = F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(label)) for label, p in GATES.items())))
-    if names is None:
-        return shown
-    low = F.lower(text)
-    return F.when(F.size(shown) == 0, F.when(F.exists(names, lambda n: F.contains(low, n)), F.array(F.lit("whitelist_brand_present"))).otherwise(shown)).otherwise(shown)
+def gate_labels(text: Column) -> Column:
+    """Labels of the groups of signs a sentence shows."""
+    return F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(label)) for label, p in GATES.items())))
 
 
 def category_terms(products: DataFrame, columns: list[str], noise: list[str]) -> DataFrame:
@@ -287,44 +284,65 @@ def classified(key: str, raw: str, source: str, near: bool, signals: list[str],
 
 def extract_sentence(sentence: str, labels: list[str], lexicon: Lexicon) -> list[tuple[str, str, float, list[str]]]:
     """``display, decision, confidence, signals`` of the names in one sentence that passed the gate."""
+    return [m[:4] for m in sentence_mentions(sentence, labels, lexicon)]
+
+
+def sentence_mentions(sentence: str, labels: list[str], lexicon: Lexicon) -> list[tuple[str, str, float, list[str], str, str]]:
+    """The same with the source of the phrase and its relation, that of its slot or else the sentence's first label."""
     scans = [(relation, phrases_of(slot, sentence, lexicon)) for slot, relation in slots_of(sentence).items()]
     scans.append(("", phrases_of("", sentence, lexicon)))
     seen = Counter(key for _, own in scans for key in own)
     first = {key: (relation, found) for relation, own in reversed(scans) for key, found in own.items()}
-    out: dict[str, tuple[str, str, float, list[str]]] = {}
+    out: dict[str, tuple[str, str, float, list[str], str, str]] = {}
     for key in dict.fromkeys(k for _, own in scans for k in own):
         relation, (raw, source, near) = first[key]
         told = [*labels, *([relation] if relation else []), *(["multi_context"] if seen[key] > 1 else []), *(["near_cat"] if near else []), *(["quoted"] if source == "quoted" else [])]
         shown, decision, score, signals = classified(key, raw, source, near, told, lexicon)
         if decision in ("display_brand", "brand_candidate_audit"):
-            out.setdefault(re.sub(ARTICLE, "", shown.lower()), (shown, decision, float(score), sorted(set(signals))))
+            out.setdefault(re.sub(ARTICLE, "", shown.lower()), (shown, decision, float(score), sorted(set(signals)), source, relation or next(iter(labels), "")))
     return list(out.values())
 
 
+def gated_sentences(posts: DataFrame, key: str, text: str, names: list[str]) -> DataFrame:
+    """``key, at, sentence, labels`` of the sentences that show a sign of brands or, without one, have a name in them.
+
+    The names are searched in the sentence's normal form by automata, whatever their number.
+    """
+    rows = posts.select(key, F.posexplode(T.sentences(F.col(text))).alias("at", "sentence")).withColumn("labels", gate_labels(F.col("sentence")))
+    form = F.when(F.size("labels") == 0, T.contextual(T.folded(F.col("sentence")))).otherwise("")
+    rows = rows.withColumns({"form": form, "named": F.lit(False)})
+    for block in listed(posts.sparkSession, names):
+        placed = with_places(rows, "form", block, fold=False)
+        rows = placed.withColumn("named", F.col("named") | (F.size("parts") > 0)).drop("folded", "grams", "parts")
+    labels = F.when((F.size("labels") == 0) & F.col("named"), F.array(F.lit("whitelist_brand_present"))).otherwise(F.col("labels"))
+    return rows.withColumn("labels", labels).where(F.size("labels") > 0).drop("form", "named")
+
+
 def sentence_brands(posts: DataFrame, key: str, text: str, lexicon: Lexicon) -> DataFrame:
-    """``key, brand, decision, confidence, signals``: names of gated sentences, each once for a post.
+    """``key, brand, decision, confidence, signals, source, relation``: names of gated sentences, each once for a post.
 
-    The gate is an expression; only sentences that pass go to Python, in Arrow batches.
+    Only sentences that pass the gate go to the extractor, in Arrow batches.
     """
-    names = F.array(*(F.lit(n) for n in sorted(lexicon.brands))) if lexicon.brands else F.array().cast("array<string>")
-    rows = posts.select(key, F.posexplode(T.sentences(F.col(text))).alias("at", "sentence")).withColumn("labels", gate_labels(F.col("sentence"), names)).where(F.size("labels") > 0)
+    rows = gated_sentences(posts, key, text, sorted(lexicon.brands))
     kind = posts.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, at int, brand string, decision string, confidence double, signals array<string>"
+    found = "brand string, decision string, confidence double, signals array<string>, source string, relation string"
 
     def run(batches):
         import pyarrow as pa
 
+        kinds = (pa.string(), pa.string(), pa.float64(), pa.list_(pa.string()), pa.string(), pa.string())
         for batch in batches:
             ids, at, out = [], [], []
             for k, i, sentence, labels in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for found in extract_sentence(sentence, labels, lexicon):
+                for one in sentence_mentions(sentence, labels, lexicon):
                     ids.append(k)
                     at.append(i)
-                    out.append(found)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(at, pa.int32()), *(pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.float64(), pa.list_(pa.string()))))], names=[key, "at", "brand", "decision", "confidence", "signals"])
+                    out.append(one)
+            columns = [pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(at, pa.int32()), *columns], names=[key, "at", "brand", "decision", "confidence", "signals", "source", "relation"])
 
-    found = rows.mapInArrow(run, schema)
+    made = rows.mapInArrow(run, f"{key} {kind}, at int, {found}")
     # The first of a post's sentences that has a name counts, whatever its article.
     mark = F.regexp_replace(F.lower("brand"), r"^(the|a|an)\s+", "")
-    best = found.groupBy(key, mark.alias("__mark")).agg(F.min_by(F.struct("brand", "decision", "confidence", "signals"), F.struct("at", "brand")).alias("x"))
+    best = made.groupBy(key, mark.alias("__mark")).agg(F.min_by(F.struct("brand", "decision", "confidence", "signals", "source", "relation"), F.struct("at", "brand")).alias("x"))
     return best.select(key, "x.*")
