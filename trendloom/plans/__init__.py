@@ -1,3 +1,3 @@
 """Plans: the registered queries over the test tables."""
 
-from . import queries, report  # noqa: F401
+from . import layers, queries, report  # noqa: F401
