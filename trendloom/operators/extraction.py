@@ -112,30 +112,6 @@ def known_hits(posts: DataFrame, key: str, text: str, known: dict[str, float], m
     return held.select(key, "norm", T.display(F.col("norm")).alias("brand"), F.lit(0.85).alias("confidence"))
 
 
-def candidates(text: Column) -> Column:
-    """Distinct candidate strings, by priority of their pattern."""
-    return F.array_distinct(F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in CANDIDATE_PATTERNS)))
-
-
-def candidate_score(candidate: Column, context: Column, known: Column, communities: Column, frequency: Column | None = None) -> Column:
-    """Rule score: capitals, rarity, context; a floor for known brands; several communities; at most 0.99."""
-    base = F.when(candidate.rlike(r"^[A-Z&-]{2,}$"), 0.30).when(candidate.rlike(r"^[A-Z][a-z]+[A-Z]"), 0.20).otherwise(0.0)
-    rare = F.lit(0.0) if frequency is None else F.when(frequency < 1e-5, 0.20).when(frequency > 5e-5, -0.25).otherwise(0.0)
-    near = F.when(context.rlike(BRAND_CONTEXT), 0.30).otherwise(0.0) - F.when(context.rlike(ANTI_CONTEXT), 0.40).otherwise(0.0)
-    score = base + rare + near
-    score = F.when(known, F.greatest(score, F.lit(0.45))).otherwise(score) + F.when(communities >= 3, 0.10).otherwise(0.0)
-    return F.round(F.least(score, F.lit(0.99)), 3)
-
-
-def regex_candidates(posts: DataFrame, key: str, text: str, community: str, known: list[str], accept: float = 0.65, review: float = 0.45) -> DataFrame:
-    """``key, candidate, score, decision`` of every candidate of a text; communities are counted over all posts."""
-    rows = posts.select(key, community, F.col(text).alias("__text"), F.explode(candidates(F.col(text))).alias("candidate")).where(F.length("candidate") >= 3)
-    rows = rows.withColumn("context", T.around(F.col("__text"), F.col("candidate"), 60)).drop("__text")
-    spread = rows.groupBy("candidate").agg(F.count_distinct(key).alias("posts"), F.count_distinct(community).alias("communities"))
-    scored = rows.join(spread, "candidate").withColumn("score", candidate_score(F.col("candidate"), F.col("context"), F.lower("candidate").isin(known), F.col("communities")))
-    return scored.select(key, "candidate", "communities", "score", F.when(F.col("score") >= accept, "accept").when(F.col("score") >= review, "review").otherwise("reject").alias("decision"))
-
-
 def review_queue(scored: DataFrame) -> DataFrame:
     """The best score of each candidate to review, best first."""
     rows = scored.where("decision = 'review'").groupBy(T.plain(F.col("candidate")).alias("brand_norm")).agg(F.max("score").alias("score"), F.max_by("candidate", F.struct("score", "candidate")).alias("candidate"))

@@ -28,6 +28,8 @@ LABELS = ("quoted", "camelcase", "allcaps", "title_phrase", "title_word")
 # Words that may begin a sentence before a thing that is no brand.
 POSSESSIVE = ("my", "your", "our", "his", "her", "their", "its")
 WHITELIST, ALIAS, LINE, KNOWN, CANDIDATE = range(1, 6)
+#: What hits have besides the caller's columns.
+OWN = ("way", "name", "layer", "pos", "place", "at", "label", "norm", "brand", "confidence", "source", "evidence", "common", "known", "fits", "counts", "raw", "context", "communities", "taken", "review", "folded", "x")
 #: Rows that a join may send to all tasks.
 MOST_BROADCAST = 1_000_000
 
@@ -97,6 +99,8 @@ def hits(posts: DataFrame, names: DataFrame, rules: Rules, key: str = "mention_i
     ``counts`` tells what the first pass counts. A candidate's confidence is without its communities; ``raw`` and the
     ``context`` are for candidates alone.
     """
+    if clash := {"key", *OWN} & {c.lower() for c in (key, *keep)}:
+        raise ValueError(f"rename columns {sorted(clash)}")
     rows = posts.select(key, *keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
     whole, parts = names.where(F.col("layer") == WHITELIST).select("name"), names.where(F.col("layer") > WHITELIST).select("name")
     none = F.lit("")
@@ -155,26 +159,32 @@ def statistics(found: DataFrame, key: str = "mention_id", community: str = "comm
     return once.groupBy("norm", community).agg(F.count("*").alias("posts")).groupBy("norm").agg(F.sum("posts").alias("posts"), F.count_if(F.col(community).isNotNull()).alias("communities"))
 
 
-def decided(found: DataFrame, statistics: DataFrame | None, rules: Rules, key: str = "mention_id", keep: Sequence[str] = (), recent: Column | None = None) -> DataFrame:
-    """The second pass: ``key``, ``keep``, ``matches`` and ``review`` of each post with a hit.
-
-    ``statistics`` help the candidates of ``recent`` posts. The first hit that fits decides about a name, by layer and
-    then by place; names that begin others or are a word of others go at the end.
-    """
+def weighed(found: DataFrame, statistics: DataFrame | None, rules: Rules, key: str = "mention_id", recent: Column | None = None) -> DataFrame:
+    """The hits that fit with their final ``confidence`` and ``evidence``, ``communities``, and whether they are ``taken`` or
+    go to ``review``. ``statistics`` help the candidates of ``recent`` posts."""
     lone = F.col("layer") == CANDIDATE
     rows = found.where("fits")
-    communities = F.lit(1)
+    communities = F.lit(1).cast("bigint")
     if statistics is not None:
         # Hits that ask nothing get a value of their post, so they don't meet in one task.
         asks = lone & (F.lit(True) if recent is None else F.coalesce(recent, F.lit(False)))
         rows = rows.withColumn("__on", F.when(asks, F.col("norm")).otherwise(F.concat(F.lit("\0"), F.coalesce(F.col(key).cast("string"), F.lit("")))))
-        rows = rows.join(statistics.where("communities >= 3").select(F.col("norm").alias("__on"), F.col("communities").alias("__n")), "__on", "left")
-        communities = F.coalesce("__n", F.lit(1))
+        rows = rows.join(statistics.select(F.col("norm").alias("__on"), F.col("communities").alias("__n")), "__on", "left")
+        communities = F.coalesce("__n", communities)
     many = communities >= 3
     score = F.when(lone, F.round(F.least(F.col("confidence") + F.when(many, 0.10).otherwise(0.0), F.lit(0.99)), 3)).otherwise(F.col("confidence"))
     evidence = F.concat_ws(",", F.when(F.col("evidence") != "", F.col("evidence")), F.when(lone & many, F.concat(F.lit("+"), communities.cast("string"), F.lit("comm"))))
-    named = F.col("brand") != ""
-    rows = rows.withColumns({"confidence": score, "evidence": F.when(evidence == "", "no_signal").otherwise(evidence), "taken": ~lone | (score >= rules.accept) & named, "review": lone & (score >= rules.review) & (score < rules.accept)})
+    own = {"confidence": score, "evidence": F.when(evidence == "", "no_signal").otherwise(evidence), "communities": communities, "taken": ~lone | (score >= rules.accept) & (F.col("brand") != ""), "review": lone & (score >= rules.review) & (score < rules.accept)}
+    return rows.withColumns(own).drop("__on", "__n")
+
+
+def decided(found: DataFrame, statistics: DataFrame | None, rules: Rules, key: str = "mention_id", keep: Sequence[str] = (), recent: Column | None = None) -> DataFrame:
+    """The second pass: ``key``, ``keep``, ``matches`` and ``review`` of each post with a hit.
+
+    The first hit that is taken decides about a name, by layer and then by place; names that begin others or are a word of
+    others go at the end.
+    """
+    rows = weighed(found, statistics, rules, key, recent)
     hit = F.struct("layer", "pos", "norm", "brand", "confidence", "source", "evidence", "taken", "raw", "context")
     by_post = rows.where("taken OR review").groupBy(key, *keep).agg(F.array_sort(F.collect_list(hit)).alias("__all"))
     taken = by_post.withColumn("__taken", F.filter("__all", lambda h: h["taken"])).withColumn("__norms", F.transform("__taken", lambda h: h["norm"]))

@@ -64,12 +64,13 @@ QUOTED, *BOUND, AFTER = extraction.CANDIDATE_PATTERNS
 TITLED = f"array_to_string(list_transform(regexp_extract_all({BARE}, '\\p{{L}}+|[^\\p{{L}}]+'), lambda x: upper(left(x, 1)) || lower(substr(x, 2))), '')"
 
 #: Letters beyond ASCII are word characters for Spark's patterns, hence signs that the patterns don't take stand for them.
-LAYERS = rf"""WITH posts AS (SELECT doc_id AS k, left(coalesce(text, ''), 400) AS t, source AS community, concat(lang, '_', doc_id % 5) AS category, doc_id % 3 <> 0 AS is_cur, cast((doc_id * 37) % 201 - 100 AS double) / cast(100 AS double) AS sentiment FROM documents),
+def _sql(text: str, is_cur: str, known: dict[str, float], freqs: dict[str, float], rejects: tuple, products: tuple) -> str:
+    return rf"""WITH posts AS (SELECT doc_id AS k, {text} AS t, source AS community, concat(lang, '_', doc_id % 5) AS category, {is_cur} AS is_cur, cast((doc_id * 37) % 201 - 100 AS double) / cast(100 AS double) AS sentiment FROM documents),
 p AS (SELECT *, replace(strip_accents(t), '`', '''') AS f, regexp_replace(t, '[^\x00-\x7F\P{{L}}]', '_', 'g') AS m FROM posts),
 bw AS (SELECT string_split({PLAIN.format("text")}, ' ') AS w FROM benchmark),
 wl AS (SELECT DISTINCT unnest([array_to_string(w[1:1], ' '), array_to_string(w[1:2], ' '), array_to_string(w[1:3], ' '), array_to_string(w[1:2], '')]) AS name FROM bw),
-white AS (SELECT name FROM wl WHERE name NOT IN ({_list(PRODUCTS)})),
-alias AS (SELECT * FROM {_values(ALIASES, "name", "brand", "pos")}), line AS (SELECT * FROM {_values(LINES, "name", "brand", "pos")}), known AS (SELECT * FROM {_values(KNOWN_NAMES, "name", "freq", "pos")}), freqs AS (SELECT * FROM {_values(FREQUENCIES, "word", "freq", "pos")}),
+white AS (SELECT name FROM wl WHERE name NOT IN ({_list(products)})),
+alias AS (SELECT * FROM {_values(ALIASES, "name", "brand", "pos")}), line AS (SELECT * FROM {_values(LINES, "name", "brand", "pos")}), known AS (SELECT * FROM {_values(known, "name", "freq", "pos")}), freqs AS (SELECT * FROM {_values(freqs, "word", "freq", "pos")}),
 w AS (SELECT k, t, f, {WORDS_OF.format("f")} AS w FROM p),
 grams AS (SELECT k, t, f, n, i, array_to_string(w[i : i + n - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS n))),
 l1 AS (SELECT k, t, f, n, gram, name, instr(f, gram) AS spot FROM (SELECT g.*, coalesce(a.name, CASE WHEN n > 1 THEN b.name END) AS name FROM grams g LEFT JOIN white a ON a.name = lower(gram) LEFT JOIN white b ON b.name = replace(lower(gram), ' ', '')) WHERE name IS NOT NULL),
@@ -84,11 +85,11 @@ found AS (SELECT k, t, list_concat(list_transform(regexp_extract_all(t, '{QUOTED
   list_transform(regexp_extract_all(regexp_replace(m, '([a-z,;:!?]\s)', '\1' || chr(1), 'g'), '\x01([A-Z][a-z]{{2,15}})\b', 1), lambda x: {{'raw': x, 'label': 'title_word'}})) AS c FROM p),
 each AS (SELECT k, t, regexp_replace(c[i].raw, '^\s+|\s+$', '', 'g') AS raw, c[i].label AS label, i AS pos FROM (SELECT *, unnest(range(1, len(c) + 1)) AS i FROM found)),
 lone AS (SELECT *, {PLAIN.format("raw")} AS norm, {CONTEXT.format("t", "instr(t, raw)", "length(raw)")} AS ctx, {BARE} AS bare, {TITLED} AS titled FROM (SELECT *, row_number() OVER (PARTITION BY k, raw ORDER BY pos) AS nth FROM each WHERE raw <> '') WHERE nth = 1),
-counted AS (SELECT DISTINCT k, norm FROM lone WHERE norm <> '' AND norm NOT IN ({_list(REJECTS)}) UNION SELECT k, name FROM posts, known WHERE contains(lower(t), name)),
+counted AS (SELECT DISTINCT k, norm FROM lone WHERE norm <> '' AND norm NOT IN ({_list(rejects)}) UNION SELECT k, name FROM posts, known WHERE contains(lower(t), name)),
 spread AS (SELECT norm, count(DISTINCT community) AS n FROM counted JOIN posts USING (k) WHERE is_cur GROUP BY 1),
 scored AS (SELECT k, lone.pos, norm, raw, CASE WHEN regexp_full_match(bare, '[A-Z0-9]{{2,6}}') OR regexp_matches(bare, '\p{{Lu}}') AND regexp_matches(bare, '\p{{Ll}}') AND NOT regexp_matches(bare, '(?s)^.+\p{{Lu}}') THEN bare WHEN regexp_matches(bare, '\p{{Lu}}|\p{{Ll}}') THEN titled ELSE bare END AS brand,
   coalesce(CASE WHEN is_cur THEN s.n END, 1) AS n, label, regexp_matches(ctx, '{extraction.BRAND_CONTEXT}') AS near, regexp_matches(ctx, '{extraction.ANTI_CONTEXT}') AS against, coalesce(freqs.freq, 0) AS freq, norm IN (SELECT name FROM known) AS known
-  FROM lone JOIN (SELECT k, is_cur FROM posts) USING (k) LEFT JOIN spread s USING (norm) LEFT JOIN freqs ON word = split_part(norm, ' ', 1) WHERE length(norm) >= 3 AND norm NOT IN ({_list(REJECTS + PRODUCTS)})),
+  FROM lone JOIN (SELECT k, is_cur FROM posts) USING (k) LEFT JOIN spread s USING (norm) LEFT JOIN freqs ON word = split_part(norm, ' ', 1) WHERE length(norm) >= 3 AND norm NOT IN ({_list(rejects + products)})),
 based AS (SELECT *, cast(CASE label WHEN 'allcaps' THEN 0.30 WHEN 'camelcase' THEN 0.20 WHEN 'quoted' THEN 0.20 ELSE 0 END AS double) + cast(CASE WHEN freq < 1e-5 THEN 0.20 WHEN freq > 5e-5 THEN -0.25 ELSE 0 END AS double) + cast(CASE WHEN near THEN 0.30 ELSE 0 END AS double) - cast(CASE WHEN against THEN 0.40 ELSE 0 END AS double) AS base FROM scored),
 five AS (SELECT k, 5 AS layer, pos, norm, brand, round(least(CASE WHEN known THEN greatest(base, cast(0.45 AS double)) ELSE base END + cast(CASE WHEN n >= 3 THEN 0.10 ELSE 0 END AS double), cast(0.99 AS double)), 3) AS confidence, 'candidate' AS source,
   coalesce(nullif(concat_ws(',', CASE WHEN label IN ('allcaps', 'camelcase', 'quoted') THEN label END, CASE WHEN freq < 1e-5 THEN 'uncommon' WHEN freq > 5e-5 THEN '-common' END, CASE WHEN near THEN 'brand_ctx' END, CASE WHEN against THEN '-anti_ctx' END, CASE WHEN known THEN 'known_brand' END, CASE WHEN n >= 3 THEN '+' || n || 'comm' END), ''), 'no_signal') AS evidence, raw FROM based),
@@ -98,6 +99,9 @@ matched AS (SELECT a.* FROM firsts a WHERE NOT EXISTS (SELECT 1 FROM firsts b WH
 """
 
 
+LAYERS = _sql("left(coalesce(text, ''), 400)", "doc_id % 3 <> 0", KNOWN_NAMES, FREQUENCIES, REJECTS, PRODUCTS)
+
+
 @query(f"{LAYERS} SELECT k AS mention_id, norm, brand, confidence, source, evidence FROM matched")
 def brand_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layers.matches(decisions(spark, sf_dir))
@@ -130,3 +134,20 @@ def brand_tables_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = extraction.sentence_brands(p, "mention_id", "ner_input", lexicon).where("decision = 'display_brand'")
     facts = said.select("mention_id", "brand", "confidence", "source", F.col("relation").alias("evidence")).join(p.drop("ner_input"), "mention_id")
     return layers.brand_tables(facts, ["mention_id"], least=1)
+
+
+LICENCES = {"apache": 0.0, "mit": 0.0, "gnu": 1e-4}
+
+
+@query(_sql("coalesce(text, '')", "true", LICENCES, FREQUENCIES, REJECTS, ("license",)) + " SELECT k AS doc_id, raw AS candidate, coalesce(spread.n, 1) AS communities, confidence AS score, evidence, CASE WHEN confidence >= 0.65 THEN 'accept' WHEN confidence >= 0.45 THEN 'review' ELSE 'reject' END AS decision FROM five LEFT JOIN spread USING (norm)")
+def regex_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates alone, of whole texts; the texts are read once and the hits stand in the shared folder."""
+    own = layers.Rules(REJECTS, ("license",), spark.createDataFrame(list(FREQUENCIES.items()), "word string, freq double"))
+    none = spark.createDataFrame([], "name string, brand string, pos int, norm string, display string")
+    known = layers.dictionary(none, none, none, spark.createDataFrame(list(LICENCES.items()), "name string, freq double"), own)
+    path = f"{shared_folder(spark)}/layers/{uuid4().hex}"
+    sources.write_stage(layers.hits(load(spark, sf_dir, "documents").withColumnRenamed("source", "community"), known, own, "doc_id", "text", ["community"]), path)
+    found = spark.read.parquet(path)
+    rows = layers.weighed(found.where(F.col("layer") == layers.CANDIDATE), layers.statistics(found, "doc_id"), own, "doc_id")
+    decision = F.when(F.col("confidence") >= own.accept, "accept").when(F.col("confidence") >= own.review, "review").otherwise("reject")
+    return rows.select("doc_id", F.col("raw").alias("candidate"), "communities", F.col("confidence").alias("score"), "evidence", decision.alias("decision"))

@@ -404,11 +404,6 @@ def alias_contains_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.alias_hits(load(spark, sf_dir, "documents"), {"thea": "Thea", "ionen": "Ionen", "license": "Licence", "ing": "Ing"}, "doc_id", "text")
 
 
-@query()
-def regex_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extraction.regex_candidates(load(spark, sf_dir, "documents"), "doc_id", "text", "source", ["apache", "mit", "gnu"])
-
-
 @query(r"""WITH t AS (SELECT doc_id, source, unnest(list_distinct(list_filter(string_split_regex(trim(regexp_replace(regexp_replace(lower(text), '[''\-.&,!?/\\()\[\]_*@#%^~`|]', ' ', 'g'), '\s+', ' ', 'g')), '\s+'), lambda x: x <> ''))) AS token FROM documents)
 SELECT token, count(DISTINCT doc_id) AS posts, count(DISTINCT source) AS communities FROM t GROUP BY token""")
 def candidate_freq_comm(spark: SparkSession, sf_dir: str) -> DataFrame:
