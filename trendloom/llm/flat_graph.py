@@ -35,7 +35,7 @@ from .graph import components
 
 SHARD = 3000  #: vectors of a shard above which it is dealt out again
 CENTROIDS = 16
-SPREAD = 4  #: shards of a vector, at dealing, above which centroids don't separate
+SPREAD = 4  #: rows of all shards for each vector, on average, above which centroids don't separate
 BLOCK_BYTES = 8 << 20  #: vectors of a block of a shard that isn't separated
 LEVELS = 8
 DEGREE = 20  #: edges that pruning keeps
@@ -87,24 +87,25 @@ def reached(x: np.ndarray, c: np.ndarray, least: float) -> tuple[np.ndarray, np.
 
 
 def centred(samples: DataFrame, least: float) -> DataFrame:
-    """``shard, centroids`` (flat) from ``shard, sample array<array<double>>``: a few rounds of spherical k-means.
+    """``shard, centroids`` (flat) from ``shard, sample array<array<double>>, room``: a few rounds of spherical k-means.
 
-    Null for a shard that they don't separate.
+    Null for a shard that they don't separate. Half of the sample is for the rounds; to how many shards a vector goes is
+    measured on the other half, and must leave the shard's rows within ``room`` times what they are.
     """
     schema = "shard string, centroids array<double>"
 
     def run(batches):
         for batch in batches:
             out = []
-            for sample in batch.column(1).to_pylist():
-                x = np.array(sample)
+            for sample, room in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                x, unseen = np.array(sample[::2]), np.array(sample[1::2])
                 c = x[:: max(1, len(x) // CENTROIDS)][:CENTROIDS].copy()
                 for _ in range(5):
                     near = (x @ c.T).argmax(1)
                     for k in range(len(c)):
                         mean = x[near == k].sum(0) if (near == k).any() else c[k]
                         c[k] = mean / (np.linalg.norm(mean) or 1)
-                out.append(c.ravel() if len(c) > SPREAD and reached(x, c, least)[1].sum(1).mean() <= SPREAD else None)
+                out.append(c.ravel() if len(c) > SPREAD and len(unseen) and reached(unseen, c, least)[1].sum(1).mean() <= room else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=["shard", "centroids"])
 
     return samples.mapInArrow(run, schema)
@@ -144,14 +145,17 @@ def dealt(classes: DataFrame, least: float) -> DataFrame:
     rows = classes.select("node", "copies", "vec", F.concat_ws("/", F.col("width").cast("string"), "label").alias("shard"), F.lit(True).alias("home"), F.lit(None).cast("bigint").alias("size"))
     rows = materialize(rows, "shards")
     for level in range(LEVELS + 1):
-        sizes = rows.where("size IS NULL").groupBy("shard").agg(F.count("*").alias("n"))
+        sizes = rows.where("size IS NULL").groupBy("shard").agg(F.count("*").alias("n"), F.count_if("home").alias("homes"))
         large = materialize(sizes.where(F.col("n") > SHARD), "large")
         if large.isEmpty():
             break
-        # About 20 sampled vectors for each centroid, so the sample of a shard is bounded.
-        sampled = rows.join(large, "shard").where(F.pmod(F.xxhash64("node", F.lit(level)), F.greatest(F.lit(1), (F.col("n") / (20 * CENTROIDS)).cast("bigint"))) == 0)
-        centroids = centred(sampled.groupBy("shard").agg(F.collect_list("vec").alias("sample")), least)
-        cuts = materialize((large.join(centroids, "shard", "left") if level < LEVELS else large.withColumn("centroids", F.lit(None).cast("array<double>"))), "centroids")
+        # About 40 sampled vectors for each centroid, so the sample of a shard is bounded.
+        sampled = rows.join(large, "shard").where(F.pmod(F.xxhash64("node", F.lit(level)), F.greatest(F.lit(1), (F.col("n") / (40 * CENTROIDS)).cast("bigint"))) == 0)
+        # A shard's rows may grow to SPREAD for each vector at home there; a shard without one has nothing to search for.
+        room = F.first(F.col("homes") * F.lit(float(SPREAD)) / F.col("n")).alias("room")
+        centroids = centred(sampled.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("node", "vec"))).alias("own"), room).select("shard", F.transform("own", lambda v: v["vec"]).alias("sample"), "room"), least)
+        large_now = large.drop("homes")
+        cuts = materialize((large_now.join(centroids, "shard", "left") if level < LEVELS else large_now.withColumn("centroids", F.lit(None).cast("array<double>"))), "centroids")
         found = rows.join(cuts, "shard", "left")
         same = found.where("centroids IS NULL").select("node", "copies", "vec", "shard", "home", F.coalesce("size", "n").alias("size"))
         again = dealt_again(found.where("centroids IS NOT NULL"), least).withColumn("size", F.lit(None).cast("bigint"))
