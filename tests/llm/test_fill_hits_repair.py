@@ -1,4 +1,4 @@
-"""Fill-in-the-middle, decontamination and conversation repair against brute force; odd rows for all."""
+"""Fill-in-the-middle, decontamination and conversation repair against brute force; odd rows for all; bounds of earlier operators."""
 
 import functools
 import hashlib
@@ -8,11 +8,12 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from trendloom.llm import conversation_repair as cr
-from trendloom.llm import decontaminate, fill_middle
+from trendloom.llm import decontaminate, fill_middle, flat_graph, warc
 
 DOCS = "doc_id long, text string, n long, items string, runs string, hash long, length int"  # names that operators use inside
 sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
@@ -272,3 +273,30 @@ def test_conversations_odd_rows(spark):
     done = cr.repair(own, cr.Costs(insert=1), "k", "t", "who", "said")
     assert {r["k"]: (r["cost"], r["audit"]) for r in cr.with_digests(done, "k").collect()} == {"c": (2, "IKKI"), None: (4, "D")}
     assert [(r["edit"], r["role"], len(r["text"])) for r in done.rows.where("id = 'c'").collect()] == [("I", "user", 0), ("K", "assistant", 3), ("K", "user", 3_000_001), ("I", "assistant", 0)]
+
+
+# Earlier operators: bounds
+
+
+@pytest.mark.parametrize("kind", ["noise", "clusters"])
+def test_shards_stay_bounded(spark, kind, monkeypatch):
+    """At several sizes beyond a shard, the rows of all shards are at most four for each vector, and one is its home."""
+    monkeypatch.setattr(flat_graph, "SHARD", 400)
+    draw = np.random.default_rng(11)
+    for n in (900, 3600, 12_000):
+        x = draw.standard_normal((n, 24))
+        if kind == "clusters":
+            x = draw.standard_normal((60, 24))[draw.integers(0, 60, n)] + 0.02 * x
+        table = spark.createDataFrame([(i, v.tolist(), "a") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label string")
+        classes = flat_graph.prepared(table, "vec_id", "embedding", "label").select(F.col("id").alias("node"), F.lit(1).cast("bigint").alias("copies"), "vec", "width", "label")
+        rows = flat_graph.dealt(classes, 0.98).agg(F.count("*"), F.count_if("home")).first()
+        assert rows[1] == n and rows[0] <= 4.5 * n, (n, tuple(rows))
+
+
+def test_archives_of_any_id(spark):
+    ids = [10**12, 10**13, 9 * 10**18, -5, 0]
+    pages = spark.createDataFrame([(i, "http://a.example/", f"p{i % 3}") for i in ids], "page_id long, url string, html string")
+    rows = warc.histories(pages).collect()
+    assert {r["page_id"] for r in rows} == set(ids) and all(re.match(r"20[23]\d-", r["time"]) for r in rows)
+    first = {f"p{i % 3}": min(j for j in ids if j % 3 == i % 3) for i in ids}
+    assert {(r["page_id"], r["refers_to"]) for r in rows} == {(i, None if first[f"p{i % 3}"] == i else first[f"p{i % 3}"]) for i in ids}

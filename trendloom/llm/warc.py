@@ -65,10 +65,16 @@ def records(pages: DataFrame, least_bytes: int, id_col: str, url_col: str, paylo
     return rows.withColumn("http", http).select(F.concat(head, "http", F.when(F.col("again"), "").otherwise(F.col("payload"))).alias("value"))
 
 
+YEARS_SECONDS = 3650 * 86400
+
+
 def write(pages: DataFrame, path: str, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", time: Column | None = None) -> None:
-    """Write an archive folder. ``time`` defaults to the id in seconds after a fixed day: the pages have no date."""
+    """Write an archive folder. ``time`` defaults to a second of ten years that the id tells: the pages have no date.
+
+    Any id gives a date of four digits, so times sort as text.
+    """
     if time is None:
-        time = F.timestamp_seconds(F.lit(1704067200) + F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(0)))
+        time = F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(0)), F.lit(YEARS_SECONDS)))
     mean = pages.agg(F.avg(F.octet_length(F.col(f"`{payload_col}`")))).first()[0] or 0
     records(pages, least_bytes, id_col, url_col, payload_col, time).write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", max(1, int(ARCHIVE_BYTES / (mean + 600)))).text(path)
 
