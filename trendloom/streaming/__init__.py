@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import contextlib
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,6 +19,28 @@ def first_only(stream: DataFrame, key: str, time: str = "published_at", late: st
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
+def first_ever(stream: DataFrame, key: str) -> DataFrame:
+    """Rows whose key was never seen: the keys stay in the checkpoint's state for good, so it grows with them.
+
+    :func:`keys_on_disk` keeps that state out of the executors' heaps.
+    """
+    return stream.dropDuplicates([key])
+
+
+@contextlib.contextmanager
+def keys_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams started meanwhile hold their state in files with a cache in front, and commit what changed."""
+    own = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def collected(result: DataFrame, checkpoint: str, out: str, mode: str = "append") -> DataFrame:
     """Run what is available, write it to ``out`` and read it.
 
