@@ -468,3 +468,15 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     state, out = _places(spark)
     return collected(first_only(_stream(spark, sf_dir), "category"), state, out).select("category")
+
+
+@query("SELECT DISTINCT user_id FROM events")
+def stream_seen_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users by their first event, whatever the time between; the keys stay for good."""
+    from ..streaming import collected, first_ever, keys_on_disk
+
+    schema = load(spark, sf_dir, "events").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*")
+    state, out = _places(spark)
+    with keys_on_disk(spark):
+        return collected(first_ever(raw.select("user_id"), "user_id"), state, out).select("user_id")
