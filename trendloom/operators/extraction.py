@@ -49,21 +49,27 @@ def whitelist(raw: DataFrame, stop: list[str], known: list[str], frequencies: Da
     return rows.groupBy("norm").agg(F.min_by("display", F.struct("pos", "display")).alias("display"))
 
 
-#: First words of a dictionary that may be sent to all tasks.
-MOST_FIRST_WORDS = 200_000
+#: First words of a dictionary that may be sent to all tasks, and that may stand in the plan.
+MOST_FIRST_WORDS, FEW_FIRST_WORDS = 200_000, 200
 
 
 def ngram_hits(posts: DataFrame, brands: DataFrame, key: str, text: str, most: int = 4) -> DataFrame:
     """``key, brand, hits``: n-grams of each text that are in ``brands`` (norm, display), by an equi-join.
 
-    Only places whose word begins a name are made into n-grams. The first words are sent to the tasks if there are few
-    enough of them, which is counted, and joined otherwise.
+    Only places whose word begins a name are made into n-grams. A few first words are looked for inside the row; more of
+    them are sent to the tasks, and joined beyond what is counted here.
     """
     words = posts.select(key, T.tokens(T.plain(F.col(text))).alias("__words"))
-    starts = words.select(key, F.explode(F.transform("__words", lambda w, i: F.struct(w.alias("first"), F.slice("__words", i + 1, most).alias("next")))).alias("x")).select(key, "x.*")
     firsts = brands.select(F.substring_index("norm", " ", 1).alias("first")).distinct()
-    few = firsts.limit(MOST_FIRST_WORDS + 1).count() <= MOST_FIRST_WORDS
-    some = starts.join(F.broadcast(firsts) if few else firsts, "first", "left_semi")
+    own = [r["first"] for r in firsts.limit(FEW_FIRST_WORDS + 1).collect()]
+    every = F.transform("__words", lambda w, i: F.struct(w.alias("first"), i.alias("at")))
+    if len(own) <= FEW_FIRST_WORDS:
+        every = F.filter(every, lambda x: x["first"].isin(own))
+    starts = words.select(key, F.explode(F.transform(every, lambda x: F.struct(x["first"].alias("first"), F.slice("__words", x["at"] + 1, most).alias("next")))).alias("x")).select(key, "x.*")
+    some = starts
+    if len(own) > FEW_FIRST_WORDS:
+        few = firsts.limit(MOST_FIRST_WORDS + 1).count() <= MOST_FIRST_WORDS
+        some = starts.join(F.broadcast(firsts) if few else firsts, "first", "left_semi")
     grams = some.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("next")), lambda n: F.array_join(F.slice("next", F.lit(1), n), " "))).alias("norm"))
     return grams.join(brands.select("norm", "display"), "norm").groupBy(key, F.col("display").alias("brand")).agg(F.count("*").alias("hits"))
 
