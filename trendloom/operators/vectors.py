@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,49 +48,75 @@ def nearest_taxonomy(vectors: DataFrame, taxonomy: DataFrame, least: float = 0.2
     return vectors.select(key, F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null").mapInArrow(run, f"{key} {kind}, target_cluster_id string, target_cluster_score double")
 
 
-def knn_vote(new: DataFrame, bank: DataFrame, k: int = 5, key: str = "vec_id", label: str = "label", block: int = 4096) -> DataFrame:
+#: Query vectors that go to all tasks at once.
+MOST_QUERIES = 16_384
+
+
+class Nearest:
+    """The k best (largest cosine, then smallest id) of each query so far."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.cosine, self.other, self.label = np.full((len(ids), 0), -np.inf), np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0), np.int32)
+
+    def add(self, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray) -> None:
+        products = np.nan_to_num(self.vectors @ vectors.T, nan=-np.inf)
+        products[self.ids[:, None] == ids[None]] = -np.inf
+        if products.shape[1] > self.k:  # what can't be among the k best of these goes at once
+            last = np.partition(products, -self.k, axis=1)[:, [-self.k]]
+            used = (products >= last).any(0)
+            products, ids, labels = products[:, used], ids[used], labels[used]
+        cosine = np.hstack([self.cosine, products])
+        other = np.hstack([self.other, np.broadcast_to(ids, products.shape)])
+        label = np.hstack([self.label, np.broadcast_to(labels, products.shape)])
+        best = np.lexsort((other, -cosine), axis=1)[:, : self.k]
+        self.cosine, self.other, self.label = (np.take_along_axis(v, best, 1) for v in (cosine, other, label))
+
+    def table(self) -> pa.RecordBatch:
+        known = np.isfinite(self.cosine).ravel()
+        columns = [np.repeat(self.ids, self.cosine.shape[1]), self.other.ravel(), self.label.ravel(), self.cosine.ravel()]
+        return pa.RecordBatch.from_arrays([pa.array(c[known]) for c in columns], names=["id", "other", "label", "cosine"])
+
+
+def knn_vote(new: DataFrame, bank: DataFrame, k: int = 5, key: str = "vec_id", label: str = "label", block: int = MOST_QUERIES) -> DataFrame:
     """``key, label``: the most frequent label of the k nearest, noise (-1) left out; ties to the smallest, none is -1.
 
-    Both sides are dealt into blocks of about ``block`` vectors; each pair of blocks is a matrix product that returns
-    k rows for a new vector, and the best k of these vote. New vectors are the queries of an increment. A bank that
-    holds them too leaves a query its own id's row out; ties of cosine go to the smallest id.
+    New vectors are the queries of an increment: blocks of about ``block`` of them go to all tasks, one after the other, and
+    the bank stays where it is. A task keeps each query's k best of the rows that it reads, and only those travel. A bank
+    that holds the new vectors too leaves a query its own id's row out; ties of cosine go to the smallest id. One action
+    counts the queries, and one for each block collects it.
     """
-    n_new, n_bank = (max(1, -(-df.count() // block)) for df in (new, bank))
-    own = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    vec = F.col("embedding").cast("array<double>").alias("embedding")
-    held = bank.where("embedding is not null").select(own(n_bank).alias("b"), every(n_new).alias("q"), F.lit(0).alias("role"), F.col(key).cast("bigint").alias("id"), F.col(label).cast("int").alias("label"), vec)
-    asked = new.where("embedding is not null").select(every(n_bank).alias("b"), own(n_new).alias("q"), F.lit(1).alias("role"), F.col(key).cast("bigint").alias("id"), F.lit(None).cast("int").alias("label"), vec)
-
-    def near(part: pa.Table) -> pa.Table:
-        role = part.column("role").to_numpy()
-        bank_rows, new_rows = part.filter(pa.array(role == 0)), part.filter(pa.array(role == 1))
-        out = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())])
-        if not bank_rows.num_rows or not new_rows.num_rows:
-            return out.empty_table()
-        x, y = matrix(new_rows.column("embedding").combine_chunks()), matrix(bank_rows.column("embedding").combine_chunks())
-        products = x @ y.T
-        asked_ids = new_rows.column("id").to_numpy()
-        ids, labels = bank_rows.column("id").to_numpy(), bank_rows.column("label").to_numpy()
-        # All above the k-th cosine, and of those that have it the smallest ids.
-        order = np.argsort(ids, kind="stable")
-        ids, labels, products = ids[order], labels[order], products[:, order]
-        products[asked_ids[:, None] == ids[None, :]] = -np.inf
-        kept = min(k, products.shape[1])
-        last = np.partition(products, -kept, axis=1)[:, [-kept]]
-        chosen, ties = products > last, products == last
-        chosen |= ties & (np.cumsum(ties, axis=1) <= kept - chosen.sum(1, keepdims=True))
-        best = np.nonzero(chosen)[1].reshape(-1, kept)
-        cosine = np.take_along_axis(products, best, 1).ravel()
-        rows = pa.table([np.repeat(asked_ids, kept), ids[best].ravel(), pa.array(labels[best].ravel(), pa.int32()), cosine], schema=out)
-        return rows.filter(pa.array(np.isfinite(cosine)))
-
-    pairs = held.unionByName(asked).groupBy("b", "q").applyInArrow(near, "id bigint, other bigint, label int, cosine double")
+    asked = new.where("embedding is not null").select(F.col(key).cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).dropDuplicates(["id"])
+    n = max(1, -(-asked.count() // block))
+    held = bank.where("embedding is not null").select(F.col(key).cast("bigint").alias("id"), F.col(label).cast("int").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    found = []
+    for b in range(n):
+        own = asked.where(F.pmod(F.xxhash64("id"), F.lit(n)) == b).toArrow()
+        if own.num_rows:
+            ids, vectors = own.column("id").to_numpy(), matrix(own.column("embedding").combine_chunks())
+            found.append(held.mapInArrow(nearest_of(new.sparkSession.sparkContext.broadcast((ids, vectors)), k), "id bigint, other bigint, label int, cosine double"))
+    pairs = reduce(DataFrame.unionByName, found) if found else new.sparkSession.createDataFrame([], "id bigint, other bigint, label int, cosine double")
     top = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.col("cosine").desc(), "other"))).where(F.col("rank") <= k)
     votes = top.groupBy("id").agg(F.coalesce(F.mode(F.when(F.col("label") != -1, F.col("label")), True), F.lit(-1)).alias("label"))
     return votes.withColumnRenamed("id", key)
 
 
+def nearest_of(queries: Broadcast, k: int):
+    """For ``mapInArrow`` over (id, label, embedding): the queries' best of a partition."""
+
+    def run(batches):
+        best = Nearest(*queries.value, k)
+        for batch in batches:
+            vectors = matrix(batch.column(2))
+            step = max(1, (4 << 20) // max(1, len(best.ids)))  # products of some 32 MB at once
+            ids, labels = batch.column(0).to_numpy(), batch.column(1).fill_null(-1).to_numpy()
+            for i in range(0, len(ids), step):
+                best.add(ids[i : i + step], labels[i : i + step], vectors[i : i + step])
+        yield best.table()
+
+    return run
+
+
 def vetoed(assigned: DataFrame, taxonomy: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Assignments without those whose text has a negative keyword of their cluster in it (score 0, ``C000``).
 
