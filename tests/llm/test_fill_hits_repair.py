@@ -300,3 +300,26 @@ def test_archives_of_any_id(spark):
     assert {r["page_id"] for r in rows} == set(ids) and all(re.match(r"20[23]\d-", r["time"]) for r in rows)
     first = {f"p{i % 3}": min(j for j in ids if j % 3 == i % 3) for i in ids}
     assert {(r["page_id"], r["refers_to"]) for r in rows} == {(i, None if first[f"p{i % 3}"] == i else first[f"p{i % 3}"]) for i in ids}
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty, repeated and long texts, an id twice, clashing columns; and an empty table."""
+    import corpus_pipeline
+
+    rnd = random.Random(2)
+    vocabulary = ["".join(rnd.choice("abcdefghijklm") for _ in range(rnd.randint(2, 9))) for _ in range(2500)]
+    text = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n))
+    good, twin, long = text(120), text(120), text(9000)
+    rows = [(1, good, "en", "s", None, "k"), (1, good, "en", "s", None, "k"), (2, good, None, None, None, None), (3, None, None, None, None, None), (4, "", "", "", 0, ""), (None, twin, None, None, None, None), (5, long, "en", "s", 1, "k"), (6, "short", "en", "s", 5, "k")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, shard string"
+    for name, some in (("rows", rows), ("none", [])):
+        spark.createDataFrame(some, schema).write.parquet(f"file://{tmp_path}/{name}/documents.parquet")
+    packed = corpus_pipeline.run(spark, f"file://{tmp_path}/rows")
+    assert {r["doc_id"] for r in packed.collect()} == {1, None, 5}
+    docs = spark.read.parquet(f"file://{tmp_path}/rows/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, "").collect(), docs.schema)
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+    left = docs.collect()
+    assert {r["doc_id"] for r in left} == {1, None, 5} and {r["text"] for r in left if r["doc_id"] != 1} == {twin, long}
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/none").count() == 0

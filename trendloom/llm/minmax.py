@@ -14,7 +14,9 @@ Missed links: with 32 bands of 4 values a pair at similarity 0.8 shares no bucke
 
 Defined results: null and empty texts have an empty set and link with nothing; a row without an id links with
 nothing, its component is null and it is kept; repeated rows share the id and so the result; rows of one id with
-several texts are one node with all their links; only the id and the text are read.
+several texts are one node with all their links; a similarity of exactly the limit links, and of equal documents that with the
+smallest id is kept; texts are shingled whole at any length; an empty table gives an empty one; only the id and the text are
+read, so other columns' names can't clash.
 """
 
 from __future__ import annotations

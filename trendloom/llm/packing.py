@@ -8,7 +8,9 @@ A sequence's place in its bucket is its place in a shard of the bucket plus the
 bucket is gathered or sorted in one task. Shards hold about the square root of all rows.
 
 Defined results: null and empty texts are one sequence of no tokens; an empty table has no sequences; repeated rows are
-sequences of their own; a row without an id is packed like any other; only the id and the text are read.
+sequences of their own; rows that share an id take their places in any order among themselves; a row without an id is packed
+like any other; a text longer than ``longest`` is cut into sequences, none of it dropped; only the id and the text are read, so
+other columns' names can't clash.
 """
 
 from __future__ import annotations
