@@ -2,6 +2,11 @@
 
 Each stage takes all rows that its predecessor kept and returns the columns of documents, the last one the packed
 sequences. Texts that a stage shortens get a new ``n_chars``, where there is such a column.
+
+Defined results: null and empty texts fail the base rule and go at the first stage; a row without an id is judged, cut,
+cleaned and packed like any other and has no near-duplicates; repeated rows share an id, so the near-duplicate stage keeps them or drops them
+together; of equal documents that with the smallest id stays; texts are read whole at any length; further columns pass through
+unchanged whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
