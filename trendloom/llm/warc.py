@@ -10,7 +10,7 @@ first entry is due, so memory follows the number of runs that overlap, not a ran
 
 Defined results: a null payload is the empty one; a null URL has no target and the empty URL key; a row without an id
 is a response that nothing refers to; repeated rows are records of their own, where those with the first's id are
-responses; captures of one URL and time are ordered by their record's place; a payload of any length is one record, whole in
+responses; captures of one URL and time are ordered by id and then by their record's place; a payload of any length is one record, whole in
 a task; only the id, the URL and the payload are read, so other columns' names can't clash; an empty table makes an empty
 history.
 """
