@@ -1,3 +1,3 @@
 """Plans: the registered queries over the test tables."""
 
-from . import layers, models, queries, report  # noqa: F401
+from . import layers, models, queries, report, texts  # noqa: F401
