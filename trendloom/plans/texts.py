@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from .. import sources
 from ..functions import text as T
-from ..operators import extraction, layers
+from ..operators import extraction, layers, records, weekly
 from .layers import LAYERS, PLAIN, decisions
-from .queries import query
-from .tables import load
+from .queries import FACTS, query
+from .tables import load, series
 
 
 @query("SELECT doc_id, md5(translate(strip_accents(text), '‘’`–—−', '''''''---')) AS fold_md5 FROM documents")
@@ -43,3 +43,16 @@ def day_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{LAYERS}, queue AS (SELECT norm, confidence AS score, raw AS candidate FROM five v WHERE confidence >= 0.45 AND confidence < 0.65 AND NOT EXISTS (SELECT 1 FROM firsts f WHERE f.k = v.k AND f.norm = v.norm AND (f.layer < 5 OR f.pos < v.pos))) SELECT norm AS brand_norm, max(score) AS score, max(struct_pack(s := score, c := candidate)).c AS candidate FROM queue GROUP BY norm")
 def brand_review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.review_queue(layers.review(decisions(spark, sf_dir)))
+
+
+@query("SELECT user_id % 50 AS sub, event_type AS category FROM (SELECT *, row_number() OVER (PARTITION BY user_id % 50 ORDER BY length(event_type), event_id, event_type) AS n FROM events) WHERE n = 1")
+def first_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each community in the first of its categories, shorter names having priority."""
+    pairs = load(spark, sf_dir, "events").select(F.col("event_type").alias("category"), (F.col("user_id") % 50).alias("sub"), F.length("event_type").alias("priority"), F.col("event_id").alias("pos"))
+    return records.first_communities(pairs).select("sub", "category")
+
+
+@query(f"{FACTS} SELECT category, week_num, n_weeks, dense_rank() OVER (ORDER BY category) - 1 AS cat_encoded FROM scored WHERE n_weeks >= 10 AND week_num >= 4")
+def rise_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = weekly.features(weekly.facts(series(spark, sf_dir)))
+    return rows.select("category", F.col("week_num").cast("bigint").alias("week_num"), F.col("n_weeks").cast("bigint").alias("n_weeks"), F.col("cat_encoded").cast("bigint").alias("cat_encoded"))
