@@ -41,6 +41,6 @@ def test_matches_sql(spark, duck, name):
 
 def test_rows_only(spark):
     names = set(QUERIES) - set(SQL)
-    assert names == {"rise_classifier", "pca_kmeans", "hashed_text_vectors", "sentence_split", "brand_context_extract", "brand_tables_context", "series_forecast_trend", "taxonomy_vectors"}
+    assert names == {"rise_classifier", "pca_kmeans", "hashed_text_vectors", "sentence_split", "brand_context_extract", "brand_tables_context", "series_forecast_trend", "taxonomy_vectors", "density_clusters"}
     told = QUERIES["rise_classifier"](spark, str(DATA)).collect()
     assert len(told) == 5 and all(0 <= r["rise_score"] <= 1 and not math.isnan(r["p2"]) for r in told)

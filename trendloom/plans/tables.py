@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder  # noqa: F401
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,19 +35,3 @@ def brand_facts(spark: SparkSession, sf_dir: str, brand: str = "p_brand") -> Dat
 
 
 BRAND_FACTS = "facts AS (SELECT p_type AS category, p_brand AS brand, l_suppkey % 20 AS community, p_size % 7 AS cluster, l_shipdate >= TIMESTAMP '1998-01-01' AS is_cur, cast((l_orderkey * 37 + l_linenumber) % 201 - 100 AS double) / cast(100 AS double) AS sentiment FROM lineitem JOIN part ON l_partkey = p_partkey)"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a session in one process gets a folder of its own where it is unset, any other is refused."""
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if not told:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        told = _own_folder()
-    return told.rstrip("/")
-
-
-@functools.cache
-def _own_folder() -> str:
-    return f"file://{tempfile.mkdtemp(prefix='trendloom-')}"
