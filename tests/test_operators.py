@@ -152,3 +152,14 @@ def test_spread_counts_a_post_once(spark):
     posts = spark.createDataFrame([(1, "a b a", "x"), (2, "a", "y"), (3, "a c", "x"), (4, None, "x"), (5, "c", None)], "k long, text string, community string")
     got = {r["token"]: (r["posts"], r["communities"]) for r in extraction.candidate_spread(posts, "k", "text", "community").collect()}
     assert got == {"a": (3, 2), "b": (1, 1), "c": (2, 1)}
+
+
+def test_unit_is_linear_in_the_width(spark):
+    import time
+
+    from trendloom.functions.numbers import unit
+
+    wide = spark.range(100, numPartitions=4).select(F.transform(F.sequence(F.lit(1), F.lit(4000)), lambda x: (x + F.col("id")).cast("double")).alias("v"))
+    began = time.perf_counter()
+    told = wide.select(unit(F.col("v")).alias("u")).agg(F.max(F.abs(F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x) - 1))).first()[0]
+    assert told < 1e-9 and time.perf_counter() - began < 10  # with the norm in the lambda, 16 million products a row

@@ -32,4 +32,6 @@ def dot(a: Column, b: Column) -> Column:
 def unit(vector: Column) -> Column:
     """The vector at length 1; null if it is zero."""
     norm = F.sqrt(dot(vector, vector))
-    return F.when(norm > 0, F.transform(vector, lambda x: x / norm))
+    # A lambda's value is computed once; the plain expression would be computed again for each component.
+    scaled = F.transform(F.array(norm), lambda n: F.transform(vector, lambda x: x / n))
+    return F.when(norm > 0, F.get(scaled, 0))
