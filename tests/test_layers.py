@@ -144,3 +144,20 @@ def test_gate_has_no_literal_names(spark):
     assert {(r["at"], tuple(r["labels"])) for r in rows.collect()} == {(0, ("whitelist_brand_present",)), (2, ("purchase",))}
     assert extraction.gated_sentences(posts, "id", "text", []).count() == 1
     assert rows.select(F.size("labels")).count() == 2
+
+
+def test_letters_beyond_ascii_as_in_sql(spark):
+    from trendloom.functions import text as T
+
+    one = lambda column: spark.range(1).select(column.alias("v")).first()["v"]
+    assert [one(T.upper(F.lit(w))) for w in ("schß", "ﬁn", "ᾀ", "été", "")] == ["SCHẞ", "ﬁN", "ᾈ", "ÉTÉ", ""]
+    assert [one(T.lower(F.lit(w))) for w in ("İSTANBUL", "ΟΔΟΣ", "ẞ")] == ["istanbul", "οδοσ", "ß"]
+    assert T.small("İSTANBUL ΟΔΟΣ") == "istanbul οδοσ"
+    # A boundary lies between a letter of ASCII and an accented one, so the words stand against a name and for it.
+    posts = spark.createDataFrame([(0, "éon the license é"), (1, "on thé license"), (2, "the licenseé from"), (3, "ébuyé the license"), (4, "İ on the license")], "k long, t string")
+    held = {r["k"] for r in extraction.alias_hits(posts, {"license": "L"}, "k", "t").collect()}
+    assert held == {1, 2, 3}
+    assert {r["k"] for r in extraction.line_hits(posts, "k", "t", {"license": "L"}).collect()} == held
+    assert {r["k"] for r in extraction.known_hits(posts, "k", "t", {"license": 1.0}).collect()} == {2, 3}
+    raws = [r["raw"] for r in one(layers.candidate_array(F.lit("CAFÉ ÉCOLE2 AB٣ ÉAB")))]
+    assert raws == ["CAFE", "AB"]
