@@ -579,3 +579,10 @@ def test_pipeline(spark, corpus, tmp_path):
     packed = corpus_pipeline.run(spark, f"file://{tmp_path}")
     assert {r["doc_id"] for r in packed.collect()} == set(last)
     assert json.dumps(corpus_pipeline.ORACLE_SQL) == "null"
+
+
+def test_suffix_sizes_fit_two_workers_beside_a_heap():
+    # With packs of 16 MB and parts of 8 MB a worker took 413 MB, with these 245 MB.
+    from trendloom.llm.suffix_dedup import Sizes
+
+    assert max(Sizes().pack_bytes, Sizes().bytes_in_part) <= 4 << 20 and Sizes().anchors_in_part <= 1_500_000

@@ -60,9 +60,9 @@ MOST = np.uint64((1 << 64) - 1)
 class Sizes:
     """What bounds memory; no result depends on it."""
 
-    pack_bytes: int = 16 << 20
-    anchors_in_part: int = 3_000_000
-    bytes_in_part: int = 8 << 20
+    pack_bytes: int = 4 << 20
+    anchors_in_part: int = 1_500_000
+    bytes_in_part: int = 4 << 20
     hot: int = 1 << 16  #: different contexts of an anchor from which its windows are dealt one by one
 
 
