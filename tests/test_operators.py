@@ -163,3 +163,14 @@ def test_unit_is_linear_in_the_width(spark):
     began = time.perf_counter()
     told = wide.select(unit(F.col("v")).alias("u")).agg(F.max(F.abs(F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x) - 1))).first()[0]
     assert told < 1e-9 and time.perf_counter() - began < 10  # with the norm in the lambda, 16 million products a row
+
+
+def test_folded_keeps_nulls_and_batches_are_cut(spark):
+    import pyarrow as pa
+
+    from trendloom.operators.dictionary import SLICE, sliced
+
+    rows = spark.createDataFrame([(0, "Café"), (1, None), (2, "")], "k long, t string").select("k", T.folded(F.col("t")).alias("f"))
+    assert sorted(rows.collect()) == [(0, "Cafe"), (1, None), (2, "")]
+    batch = pa.RecordBatch.from_pydict({"k": list(range(2 * SLICE + 1))})
+    assert [b.num_rows for b in sliced(iter([batch]))] == [SLICE, SLICE, 1]
