@@ -161,3 +161,21 @@ def test_letters_beyond_ascii_as_in_sql(spark):
     assert {r["k"] for r in extraction.known_hits(posts, "k", "t", {"license": 1.0}).collect()} == {2, 3}
     raws = [r["raw"] for r in one(layers.candidate_array(F.lit("CAFÉ ÉCOLE2 AB٣ ÉAB")))]
     assert raws == ["CAFE", "AB"]
+
+
+def test_long_text_is_read_once(spark, names):
+    """Patterns run once on a text, not once for each candidate; the texts stay in one scan."""
+    import time
+
+    own = [f"Q{chr(65 + i % 26)}{chr(65 + i // 26 % 26)}{chr(65 + i // 676)}x{i}X" for i in range(4_000)]
+    capitals = [w.replace("x", "").upper() for w in own]
+    posts = spark.createDataFrame([(1, ". ".join([*capitals, "Fenty Beauty", *capitals]), "a")], "mention_id long, ner_input string, community string")
+    start = time.time()
+    hits = layers.hits(posts, names, RULES, keep=["community"])
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = [(r["layer"], r["raw"]) for r in hits.collect()]
+    assert {raw for layer, raw in got if layer == 5} == {*capitals, "Fenty Beauty", "Beauty"} - {w for w in capitals if len(w) > 8}
+    assert len([1 for layer, _ in got if layer == 5]) == len({raw for layer, raw in got if layer == 5})
+    assert time.time() - start < 20
+    for text, parts in (("ab" * 30 + "c", ["ab", "ba", "c", "x"]), ("xyab" * 3_000_000, [*(f"z{i}" for i in range(3)), "ab", "ya"])):
+        assert dictionary.first_places(text, parts) == {p: text.find(p) for p in parts}
