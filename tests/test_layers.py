@@ -179,3 +179,19 @@ def test_long_text_is_read_once(spark, names):
     assert time.time() - start < 20
     for text, parts in (("ab" * 30 + "c", ["ab", "ba", "c", "x"]), ("xyab" * 3_000_000, [*(f"z{i}" for i in range(3)), "ab", "ya"])):
         assert dictionary.first_places(text, parts) == {p: text.find(p) for p in parts}
+
+
+def test_layers_read_whole_texts(spark, tmp_path):
+    """Names and candidates beyond the first 400 characters count; the review's queries read what their SQL reads."""
+    import shutil
+
+    from trendloom.plans.queries import QUERIES
+
+    shutil.copy("/root/testdata/sf0.001/benchmark.parquet", tmp_path)
+    late = "x " * 400 + ". We bought ZQVX here, under the Apache licence; from apache."
+    docs = [(i, late, "en", f"s{i}") for i in (1, 2, 4)] + [(5, None, "de", "s5"), (7, "from apache", "de", "s5")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["mention_id"], r["brand"], r["evidence"]) for r in QUERIES["brand_layers"](spark, str(tmp_path)).collect()}
+    assert {k for k, brand, _ in got if brand == "Apache"} == {1, 2, 4, 7}
+    assert {(k, e) for k, brand, e in got if brand == "ZQVX"} == {(k, "allcaps,uncommon,brand_ctx,+3comm") for k in (1, 2, 4)}
+    assert QUERIES["brand_review"](spark, str(tmp_path)).where("candidate = 'ZQVX'").count() == 0
