@@ -195,3 +195,16 @@ def test_layers_read_whole_texts(spark, tmp_path):
     assert {k for k, brand, _ in got if brand == "Apache"} == {1, 2, 4, 7}
     assert {(k, e) for k, brand, e in got if brand == "ZQVX"} == {(k, "allcaps,uncommon,brand_ctx,+3comm") for k in (1, 2, 4)}
     assert QUERIES["brand_review"](spark, str(tmp_path)).where("candidate = 'ZQVX'").count() == 0
+
+
+def test_tables_read_whole_texts(spark, tmp_path):
+    import shutil
+
+    from trendloom.plans.queries import QUERIES
+
+    shutil.copy("/root/testdata/sf0.001/benchmark.parquet", tmp_path)
+    late = lambda word: "x " * 400 + f". We bought {word} here."
+    docs = [(i, late("ZQ" + "UVWX"[i % 5]), "en", f"s{i}") for i in (1, 11, 16, 21, 2, 7, 17, 5, 10, 20, 13)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["category"], r["brand"]): (r["cur_mentions"], r["prev_mentions"]) for r in QUERIES["brand_tables_layered"](spark, str(tmp_path)).collect()}
+    assert got == {("en_0", "ZQU"): (3, 0), ("en_1", "ZQV"): (3, 1), ("en_2", "ZQW"): (3, 0)}
