@@ -208,3 +208,22 @@ def test_tables_read_whole_texts(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r["category"], r["brand"]): (r["cur_mentions"], r["prev_mentions"]) for r in QUERIES["brand_tables_layered"](spark, str(tmp_path)).collect()}
     assert got == {("en_0", "ZQU"): (3, 0), ("en_1", "ZQV"): (3, 1), ("en_2", "ZQW"): (3, 0)}
+
+
+def test_context_tables_take_all_names(spark, tmp_path):
+    """Names beyond the first 20,000 and beyond the first 400 characters count; blocks of names change nothing."""
+    from trendloom.plans.queries import QUERIES
+
+    word = lambda i: "q" + "".join(chr(97 + i // 26**n % 26) for n in range(4))
+    spark.createDataFrame([(i, f"{word(i)} {word(i + 7)} and so on") for i in range(40_000)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    some = {d: [f"{word(i).title()} {word(i + 7).title()}" for i in range(d * 4_000, d * 4_000 + 3_900, 400)] for d in (1, 2, 4, 5, 8)}
+    docs = [(d, "x " * 400 + ". " + " ".join(f"I bought {n}." for n in own), "en", "s") for d, own in some.items()]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["category"], r["brand"]) for r in QUERIES["brand_tables_context"](spark, str(tmp_path)).where("source = 'whitelist'").collect()}
+    assert got == {(f"en_{d % 5}", n) for d, own in some.items() for n in own}
+    posts = spark.createDataFrame([(1, "We bought La Mer and Mer; it vs Merry Go works."), (2, "nothing of la mer here"), (3, None)], "id long, text string")
+    shown = {"la mer": "La Mer", "mer": "MER", "merry": "Merry!", "go": "GO", "": "none"}
+    names = spark.createDataFrame(list(shown.items()), "norm string, display string")
+    told = lambda rows: sorted(map(str, rows.collect()))
+    want = told(extraction.sentence_brands(posts, "id", "text", extraction.Lexicon({k: v for k, v in shown.items() if k}, frozenset({"serum"}))))
+    assert want and all(told(extraction.listed_brands(posts, "id", "text", names, frozenset({"serum"}), size)) == want for size in (200_000, 2))
